@@ -387,11 +387,13 @@ RENAMES = f"""{INV}, {NAMES}, owners AS (
                   ELSE 'renamed' END AS status
       FROM req r LEFT JOIN names n ON n.project_name = r.old
       LEFT JOIN owners o ON o.project_name = r.new),
+    by_name AS (
+      SELECT min(request_id) AS request_id, arg_min(project_id, request_id) AS project_id
+      FROM judged WHERE status = 'renamed' GROUP BY new),
+    won AS (SELECT min(request_id) AS request_id FROM by_name GROUP BY project_id),
     settled AS (
       SELECT request_id, new, project_id,
-             CASE WHEN status = 'renamed' AND (
-                    min(request_id) OVER (PARTITION BY status, new) <> request_id
-                    OR min(request_id) OVER (PARTITION BY status, project_id) <> request_id)
+             CASE WHEN status = 'renamed' AND request_id NOT IN (SELECT request_id FROM won)
                   THEN 'conflict' ELSE status END AS status
       FROM judged)"""
 

@@ -12,8 +12,8 @@ from sparkroster.session import work_dir
 
 
 @query(
-    """WITH d AS (SELECT p_partkey, CASE WHEN p_size > 10 THEN p_name END AS code,
-             CASE WHEN p_size < 20 THEN '/code/' || p_partkey END AS code_path,
+    """WITH d AS (SELECT p_partkey, CASE WHEN p_size > 20 OR p_size < 5 THEN p_name END AS code,
+             CASE WHEN p_size < 12 THEN '/code/' || p_partkey END AS code_path,
              CASE WHEN p_type <> 'ECONOMY' THEN p_type END AS type,
              CASE WHEN p_size > 30 THEN 'X' ELSE '' END AS engine, p_retailprice < 1000 AS has_file,
              p_brand AS text
@@ -35,8 +35,8 @@ def check_definitions(spark, sf_dir):
         key.alias("name"),
         F.nullif(F.col("p_type"), F.lit("ECONOMY")).alias("type"),
         F.when(F.col("p_size") > 30, "X").otherwise("").alias("engine"),
-        F.when(F.col("p_size") > 10, F.col("p_name")).alias("code"),
-        F.when(F.col("p_size") < 20, path).alias("code_path"),
+        F.when((F.col("p_size") > 20) | (F.col("p_size") < 5), F.col("p_name")).alias("code"),
+        F.when(F.col("p_size") < 12, path).alias("code_path"),
     )
     files = part.where(F.col("p_retailprice") < 1000).select(
         path.alias("path"), F.col("p_brand").alias("text")

@@ -1,8 +1,8 @@
 """Renames and drops that touch every row of a project.
 
-All requests are judged against the table as it came in. One that loses a clash with
-another request (for the same new name, or for the same project) is a conflict; the lowest
-``request_id`` wins.
+All requests are judged against the table as it came in. Of several requests for the same
+new name the lowest ``request_id`` wins, then of several winners for the same project; the
+others are conflicts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from sparkroster.constants import LABEL_COLUMNS
 from sparkroster.functions import merge_patch
 from sparkroster.operators.change import CONFLICT, Changed
 from sparkroster.operators.report import verdict
-from sparkroster.operators.resolve import OK, name_index, resolution_status, resolve_names
+from sparkroster.operators.resolve import OK, name_index, resolution_status
+from sparkroster.operators.skew import key_counts, lookup
 
 
 def rename_projects(
@@ -24,8 +25,8 @@ def rename_projects(
 ) -> Changed:
     """Give projects a new display name on every one of their rows.
 
-    Requests have (request_id, old_name, new_name). Results have (request_id, project_id,
-    status, total, applied, verdict). The repository name stays.
+    Requests have (request_id, old_name, new_name), the id unique. Results have
+    (request_id, project_id, status, total, applied, verdict). The repository name stays.
     """
     names = name_index(inventory)
     old = names.select(
@@ -42,40 +43,35 @@ def rename_projects(
     other = (F.col("_owner_min") != F.col("project_id")) | (
         F.col("_owner_max") != F.col("project_id")
     )
-    judged = (
-        asked.join(old, "_old", "left")
-        .join(new, "_new", "left")
-        .select(
-            "request_id",
-            "_new",
-            "project_id",
-            F.when(F.col("_old") == F.col("_new"), "noop")
-            .when(F.col("_resolved").isNull(), "not_found")
-            .when(F.col("_resolved") != OK, F.col("_resolved"))
-            .when(other, CONFLICT)
-            .otherwise("renamed")
-            .alias("status"),
-        )
+    found = lookup(asked, old, "_old")
+    judged = lookup(found, new, "_new", counts=key_counts(asked, ["_new"])).select(
+        "request_id",
+        "_new",
+        "project_id",
+        F.when(F.col("_old") == F.col("_new"), "noop")
+        .when(F.col("_resolved").isNull(), "not_found")
+        .when(F.col("_resolved") != OK, F.col("_resolved"))
+        .when(other, CONFLICT)
+        .otherwise("renamed")
+        .alias("status"),
     )
     going = judged.where(F.col("status") == "renamed")
-    by_name = going.groupBy("_new").agg(F.min("request_id").alias("_first_name"))
-    by_id = going.groupBy("project_id").agg(F.min("request_id").alias("_first_id"))
-    lost = (F.col("_first_name") != F.col("request_id")) | (
-        F.col("_first_id") != F.col("request_id")
+    by_name = (
+        going.groupBy("_new")
+        .agg(F.min_by(F.struct("request_id", "project_id"), "request_id").alias("_w"))
+        .select("_new", "_w.*")
     )
-    settled = (
-        judged.join(by_name, "_new", "left")
-        .join(by_id, "project_id", "left")
-        .withColumn(
-            "status",
-            F.when((F.col("status") == "renamed") & lost, CONFLICT).otherwise(F.col("status")),
-        )
-        .select("request_id", "project_id", "_new", "status")
+    rows = key_counts(inventory, ["project_id"])
+    winners = (
+        by_name.groupBy("project_id")
+        .agg(F.min_by(F.struct("request_id", "_new"), "request_id").alias("_w"))
+        .select("project_id", "_w.*")
+        .join(rows, "project_id")
     )
-    winners = settled.where(F.col("status") == "renamed").select("project_id", "_new")
+
     label = F.create_map(F.lit(columns["project_name"]), F.col("_new"))
     table = (
-        inventory.join(winners, "project_id", "left")
+        lookup(inventory, winners.select("project_id", "_new"), "project_id", counts=rows)
         .withColumns(
             {
                 "project_name": F.coalesce("_new", "project_name"),
@@ -86,15 +82,19 @@ def rename_projects(
         )
         .select(*inventory.columns)
     )
-    rows = inventory.groupBy("project_id").agg(F.count("*").alias("_rows"))
-    total = F.when(F.col("status") == "renamed", F.coalesce("_rows", F.lit(0))).otherwise(0)
-    results = settled.join(rows, "project_id", "left").select(
+    won = winners.select("request_id", F.col("n").alias("_rows"))
+    settled = judged.join(won, "request_id", "left")
+    status = F.when(
+        (F.col("status") == "renamed") & F.col("_rows").isNull(), CONFLICT
+    ).otherwise(F.col("status"))
+    total = F.coalesce("_rows", F.lit(0))
+    results = settled.select(
         "request_id",
         "project_id",
-        "status",
+        status.alias("status"),
         total.alias("total"),
         total.alias("applied"),
-        F.when(F.col("status").isin("renamed", "noop"), verdict(total, total))
+        F.when(status.isin("renamed", "noop"), verdict(total, total))
         .otherwise("none")
         .alias("verdict"),
     )
@@ -109,15 +109,31 @@ def drop_projects(
     Requests have (request_id, project_name); results have (request_id, project_id, status,
     removed).
     """
-    resolved = resolve_names(requests, inventory, name)
-    ids = resolved.where(F.col("status") == OK).select("project_id").distinct()
-    kept = inventory.join(ids, "project_id", "left_anti").select(*inventory.columns)
-    removed = inventory.join(ids, "project_id", "left_semi").select(*inventory.columns)
-    rows = inventory.groupBy("project_id").agg(F.count("*").alias("removed"))
-    results = resolved.join(rows, "project_id", "left").select(
+    rows = key_counts(inventory, ["project_id"])
+    low, high = F.col("_id_min"), F.col("_id_max")
+    status = resolution_status(low, high)
+    names = (
+        name_index(inventory)
+        .select(
+            "_name",
+            F.when(status == OK, low).alias("project_id"),
+            F.when(status == OK, "dropped").otherwise(status).alias("status"),
+        )
+        .join(rows, "project_id", "left")
+    )
+    asked = requests.withColumn("_name", F.lower(F.col(name)))
+    ids = (
+        names.where(F.col("project_id").isNotNull())
+        .join(asked.select("_name").distinct(), "_name", "left_semi")
+        .select("project_id")
+        .distinct()
+    )
+    kept = lookup(inventory, ids, "project_id", "left_anti", rows).select(*inventory.columns)
+    removed = lookup(inventory, ids, "project_id", "left_semi", rows).select(*inventory.columns)
+    results = lookup(asked, names, "_name").select(
         "request_id",
         "project_id",
-        F.when(F.col("status") == OK, "dropped").otherwise(F.col("status")).alias("status"),
-        F.coalesce("removed", F.lit(0)).alias("removed"),
+        F.coalesce("status", F.lit("not_found")).alias("status"),
+        F.coalesce("n", F.lit(0)).alias("removed"),
     )
     return kept, removed, results

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkroster.functions import comparable, drop_nulls, merge_patch, or_empty
+from sparkroster.operators.skew import lookup
 from sparkroster.schemas import ENTRY_KEY, flatten_labels
 
 CONFLICT = "conflict"
@@ -39,14 +40,14 @@ def _results(
     base: DataFrame, changes: DataFrame, key: Sequence[str], status: Column
 ) -> DataFrame:
     """Result rows; ``status`` may use ``_present`` and ``_first`` next to the change."""
-    known = (
-        changes.groupBy(*key)
-        .agg(F.min("seq").alias("_first_seq"))
-        .join(base.select(*key, F.lit(True).alias("_present")), list(key), "left")
-        .withColumn("_present", F.coalesce("_present", F.lit(False)))
+    per_key = changes.groupBy(*key).agg(
+        F.min("seq").alias("_first_seq"), F.count("*").alias("n")
     )
+    known = per_key.join(
+        base.select(*key, F.lit(True).alias("_present")), list(key), "left"
+    ).withColumn("_present", F.coalesce("_present", F.lit(False)))
     return (
-        changes.join(known, list(key))
+        lookup(changes, known.drop("n"), key, "inner", per_key.select(*key, "n"))
         .withColumn("_first", F.col("seq") == F.col("_first_seq"))
         .select(*key, "seq", status.alias("status"))
     )

@@ -41,7 +41,7 @@ def apply_changes(
         F.when(F.col("op").isin("create", "upsert"), True).when(F.col("op") == "delete", False)
     )
     log = changes.select(*key, "seq", "op", "data").withColumns(
-        {"_piece": F.floor(F.col("seq") / piece), "_sets": sets_present}
+        {"_piece": F.expr(f"seq div {int(piece)}"), "_sets": sets_present}
     )
     before = (
         Window.partitionBy(*key, "_piece").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,23 +87,27 @@ def apply_changes(
         .groupBy(*key, "_field")
         .agg(F.max("seq").alias("_at"), F.max_by("_value", "seq").alias("_value"))
     )
-    written = (
-        fields.join(per_key.select(*key, "_reset"), key)
-        .where(F.col("_reset").isNull() | (F.col("_at") >= F.col("_reset")))
-        .groupBy(*key)
+    # Fields wiped by a later reset stop at this join, before anything is collected.
+    alive = F.col("_reset").isNull() | (F.col("_at") >= F.col("_reset"))
+    states = ["_reset", "_deleted", "_after"]
+    left, right = per_key.select(*key, *states).alias("_k"), fields.alias("_f")
+    same_key = [F.col(f"_k.{k}") == F.col(f"_f.{k}") for k in key]
+    on = alive
+    for test in same_key:
+        on = on & test
+    pair = F.struct("_field", "_value")
+    state = (
+        left.join(right, on, "left")
+        .groupBy(*[F.col(f"_k.{k}").alias(k) for k in key], *states)
         .agg(
             F.map_from_entries(
-                F.array_sort(F.collect_list(F.struct("_field", "_value")))
+                F.array_sort(F.collect_list(F.when(F.col("_field").isNotNull(), pair)))
             ).alias("_written")
         )
+        .withColumn("_touched", F.lit(True))
     )
-    known = base.withColumn("_in_base", F.lit(True))
-    folded = known.join(
-        per_key.join(written, key, "left").withColumn("_touched", F.lit(True)),
-        key,
-        "full_outer",
-    ).withColumn("present", F.coalesce("_after", "_in_base", F.lit(False)))
-
+    present = F.coalesce("_after", "_in_base", F.lit(False))
+    folded = base.withColumn("_in_base", F.lit(True)).join(state, key, "full_outer")
     data = (
         F.when(F.col("_touched").isNull(), F.col("data"))
         .when(F.col("_reset").isNotNull(), drop_nulls(or_empty("_written")))
@@ -114,9 +118,11 @@ def apply_changes(
         if c not in (*key, "data"):
             rest[c] = F.when(F.col("_deleted").isNull(), F.col(c))
     table = (
-        folded.where("present").withColumns({"data": data, **rest}).select(*base.columns)
+        folded.where(present).withColumns({"data": data, **rest}).select(*base.columns)
+    )
+    results = per_key.join(in_base, key, "left").select(
+        *key, "applied", "rejected", "noop", present.alias("present")
     )
-    results = folded.where("_touched").select(*key, "applied", "rejected", "noop", "present")
     return Changed(table, results)
 
 

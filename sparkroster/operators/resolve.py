@@ -1,8 +1,9 @@
 """Name resolution and integrity checks: many requests against one inventory.
 
 Every lookup joins the requests to something with one row per key, so no join here can
-multiply rows. The requests are the left side of left joins, which is the side the
-adaptive skew join splits when many requests name the same project.
+multiply rows. Where that is an aggregate, :func:`~sparkroster.operators.skew.lookup`
+spreads a name or project that very many requests share; where both sides are plain
+tables, the adaptive skew join splits it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkroster.constants import REPO_URL_ANNOTATION
 from sparkroster.functions import physical_name
+from sparkroster.operators.skew import key_counts, lookup
 
 OK = "ok"
 NOT_FOUND = "not_found"
@@ -46,7 +48,7 @@ def resolution_status(low: Column, high: Column) -> Column:
 
 def _with_index(requests: DataFrame, inventory: DataFrame, name: str) -> DataFrame:
     keyed = requests.withColumn("_name", F.lower(F.col(name)))
-    return keyed.join(name_index(inventory), "_name", "left")
+    return lookup(keyed, name_index(inventory), "_name")
 
 
 def resolve_names(
@@ -143,8 +145,8 @@ def check_parents(
     )
     taken = inventory.select(F.col("namespace").alias("_new_ns"), F.lit(True).alias("_taken"))
     joined = (
-        r.join(taken, "_new_ns", "left")
-        .join(repo, "project_id", "left")
+        lookup(r, repo, "project_id")
+        .join(taken, "_new_ns", "left")
         .join(_labels_at(inventory, "par"), "_par_ns", "left")
     )
     same = F.col("_par_id").eqNullSafe(F.col("project_id")) & F.col("_par_env").eqNullSafe(par)
@@ -185,7 +187,7 @@ def inconsistent_pairs(inventory: DataFrame) -> DataFrame:
     """(side, key, value) rows that break the one-name-one-id rule, in both directions.
 
     One row per offending pair and no list, so a key with any number of values is fine.
-    Each direction is decided by comparing the lowest with the highest value.
+    Pairs are distinct, so a key with more than one of them is an offender.
     """
     pairs = (
         inventory.where(F.col("project_name").isNotNull() & F.col("project_id").isNotNull())
@@ -195,13 +197,9 @@ def inconsistent_pairs(inventory: DataFrame) -> DataFrame:
     )
 
     def side(label: str, key: str, value: str) -> DataFrame:
-        bad = (
-            pairs.groupBy(key)
-            .agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-            .where(F.col("_low") != F.col("_high"))
-            .select(key)
-        )
-        return pairs.join(bad, key, "left_semi").select(
+        counts = key_counts(pairs, [key])
+        bad = counts.where(F.col("n") > 1)
+        return lookup(pairs, bad.select(key), key, "left_semi", counts).select(
             F.lit(label).alias("side"), F.col(key).alias("key"), F.col(value).alias("value")
         )
 

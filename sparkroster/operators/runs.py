@@ -15,7 +15,7 @@ from sparkroster.constants import (
     TAIL_LINES_FAILED,
 )
 from sparkroster.functions import iso_time
-from sparkroster.operators.skew import SHARES, hot_keys, spread_lookup
+from sparkroster.operators.skew import SHARES, lookup
 
 
 def flatten_status(raw: DataFrame, status: str = "status") -> DataFrame:
@@ -78,16 +78,15 @@ def run_outcomes(
         .alias("outcome"),
         decided.alias("decided_at"),
         deadline.alias("_deadline"),
-        "n",
     )
     counted = (
-        spread_lookup(
+        lookup(
             samples.select("run_id", "ts"),
-            outcomes.drop("n"),
+            outcomes.select("run_id", "decided_at", "_deadline"),
             "run_id",
-            hot_keys(runs.select("run_id", "n"), "run_id", shares=shares),
-            F.col("ts"),
-            shares,
+            "inner",
+            counts=runs.select("run_id", "n"),
+            shares=shares,
         )
         .groupBy("run_id")
         .agg(

@@ -1,51 +1,76 @@
 """Lookup join that spreads the rows of hot keys.
 
-Used where an aggregation follows the join: the adaptive skew join steps back there,
-because splitting a partition would break the grouping it feeds.
+The adaptive skew join splits a large partition only when both sides of the join are plain
+shuffles. It steps back when one side is an aggregate that is already partitioned by the
+key, and when a grouping by the key follows. Those joins go through :func:`lookup`: rows
+of hot keys, and rows with a null key, are sent to many tasks, and the few lookup rows of
+the hot keys are repeated for each of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARES = 64
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n", shares: int = SHARES) -> DataFrame:
+def hot_keys(counts: DataFrame, key: Sequence[str], n: str = "n", shares: int = SHARES) -> DataFrame:
     """Keys that hold more than one ``shares``-th of all counted rows.
 
-    There can be fewer than ``shares`` of them whatever the data, so the result may be
+    There are fewer than ``shares`` of them whatever the data, so the result may be
     broadcast.
     """
     total = counts.agg(F.sum(n)).scalar()
-    return counts.where(F.col(n) * F.lit(shares) > total).select(key)
+    return counts.where(F.col(n) * F.lit(shares) > total).select(*key)
+
+
+def key_counts(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows per key, counted in the map tasks first."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n"))
+
+
+def _row_hash(rows: DataFrame, key: Sequence[str]) -> Column:
+    """A hash of the row without its key: the same in every attempt of a task."""
+    parts = [
+        F.map_entries(f.name) if f.dataType.typeName() == "map" else F.col(f.name)
+        for f in rows.schema.fields
+        if f.name not in key
+    ]
+    return F.xxhash64(*parts) if parts else F.lit(0)
 
 
-def spread_lookup(
+def lookup(
     rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    hot: DataFrame,
-    spread_by: Column,
+    right: DataFrame,
+    key: str | Sequence[str],
+    how: str = "left",
+    counts: DataFrame | None = None,
     shares: int = SHARES,
 ) -> DataFrame:
-    """Inner join of ``rows`` to ``lookup`` (one row per key), hot keys in ``shares`` parts.
+    """Join ``rows`` to ``right``, which has one row per key (left, inner, semi or anti).
 
-    The part of a row is a hash of ``spread_by``, so a task that runs again after a lost
-    executor sends its rows to the same place.
+    ``counts`` (key, n) saves counting the rows where the caller has the counts already.
     """
-    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(shares)).cast("int"))
+    key = [key] if isinstance(key, str) else list(key)
+    counts = key_counts(rows, key) if counts is None else counts
+    marks = F.broadcast(hot_keys(counts, key, shares=shares).withColumn("_hot", F.lit(True)))
+    no_key = F.lit(False)
+    for k in key:
+        no_key = no_key | F.col(k).isNull()
+    spread = F.coalesce("_hot", F.lit(False)) | no_key
+    part = F.pmod(_row_hash(rows, key), F.lit(shares)).cast("int")
     left = (
         rows.join(marks, key, "left")
-        .withColumn("_part", F.coalesce(part, F.lit(0)))
+        .withColumn("_part", F.when(spread, part).otherwise(0))
         .drop("_hot")
     )
-    last = F.when(F.col("_hot"), F.lit(shares - 1)).otherwise(F.lit(0))
-    right = (
-        lookup.join(marks, key, "left")
+    last = F.when(F.col("_hot"), shares - 1).otherwise(0)
+    copies = (
+        right.join(marks, key, "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), last)))
         .drop("_hot")
     )
-    return left.join(right, [key, "_part"]).drop("_part")
+    return left.join(copies, [*key, "_part"], how).drop("_part")
