@@ -14,9 +14,10 @@ from sparkroster.catalog.base import dash_sql, iso_sql, query, string_map, table
     FROM documents"""
 )
 def sanitize_name(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", fn.sanitize_name("text").alias("name"), fn.is_bad_name("text").alias("bad")
+    named = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", fn.sanitize_name("text").alias("name")
     )
+    return named.select("doc_id", "name", fn.is_bad_name("text", "name").alias("bad"))
 
 
 @query(

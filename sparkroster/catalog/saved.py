@@ -64,10 +64,13 @@ def bind_params(spark, sf_dir):
         base, F.when(low, none).otherwise(price), F.when(status == "P", extra).otherwise(none)
     )
     calls = table(spark, sf_dir, "orders").select("o_orderkey", params.alias("params"))
-    values, errors = plans.bind_params("params", "customer:bigint, price:double")
-    return calls.select(
-        "o_orderkey", values.alias("v"), F.array_join(errors, "; ").alias("errors")
-    ).select("o_orderkey", "v.customer", "v.price", "errors")
+    bound = plans.bind_params(calls, "customer:bigint, price:double")
+    return bound.select(
+        "o_orderkey",
+        "values.customer",
+        "values.price",
+        F.array_join("errors", "; ").alias("errors"),
+    )
 
 
 _REVENUE = """SELECT l_returnflag, l_linestatus, count(*) AS n_lines, sum(l_quantity) AS quantity

@@ -22,7 +22,7 @@ def drop_nulls(c: Column | str) -> Column:
 
 def encode(c: Column | str) -> Column:
     """Base64 text in one line; Spark's own encoder breaks lines every 76 characters."""
-    return F.translate(F.base64(_col(c).cast("binary")), "\r\n", "")
+    return F.replace(F.base64(_col(c).cast("binary")), F.lit("\r\n"), F.lit(""))
 
 
 def split_file_fields(c: Column | str, prefix: str = FILE_FIELD_PREFIX) -> tuple[Column, Column]:
@@ -94,7 +94,7 @@ def env_collisions(c: Column | str) -> Column:
     shared = F.filter(
         F.array_distinct(names), lambda n: F.size(F.filter(names, lambda m: m == n)) > 1
     )
-    return F.array_sort(shared)
+    return F.sort_array(shared)
 
 
 def stringify_map(columns: dict[str, Column]) -> Column:
@@ -106,7 +106,7 @@ def stringify_map(columns: dict[str, Column]) -> Column:
 
 def comparable(c: Column | str) -> Column:
     """A sorted entry array, because maps have no equality in Spark."""
-    return F.array_sort(F.map_entries(_col(c)))
+    return F.sort_array(F.map_entries(_col(c)))
 
 
 def merge_patch(old: Column | str, patch: Column | str) -> Column:

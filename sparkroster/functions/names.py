@@ -34,17 +34,16 @@ def sanitize_name(c: Column | str, strict: bool = False) -> Column:
     A name with nothing left is null, or an error when ``strict``.
     """
     c = _col(c)
-    clean = _dashed(F.lower(c))
-    cut = F.substring(clean, 1, NAME_LIMIT)
+    name = F.nullif(F.substring(_dashed(F.lower(c)), 1, NAME_LIMIT), F.lit(""))
     if strict:
         message = F.concat(F.lit("name has no usable characters: "), c)
-        return F.when(clean == "", F.raise_error(message)).otherwise(cut)
-    return F.when(clean != "", cut)
+        return F.coalesce(name, F.when(c.isNotNull(), F.raise_error(message)))
+    return name
 
 
-def is_bad_name(c: Column | str) -> Column:
-    """True where :func:`sanitize_name` has nothing left."""
-    return _dashed(F.lower(_col(c))) == ""
+def is_bad_name(given: Column | str, sanitized: Column | str) -> Column:
+    """True where :func:`sanitize_name` found nothing to keep of a given name."""
+    return _col(given).isNotNull() & _col(sanitized).isNull()
 
 
 def physical_name(project_id: Column | str, environment: Column | str) -> Column:

@@ -101,7 +101,7 @@ def apply_changes(
         .groupBy(*[F.col(f"_k.{k}").alias(k) for k in key], *states)
         .agg(
             F.map_from_entries(
-                F.array_sort(F.collect_list(F.when(F.col("_field").isNotNull(), pair)))
+                F.sort_array(F.collect_list(F.when(F.col("_field").isNotNull(), pair)))
             ).alias("_written")
         )
         .withColumn("_touched", F.lit(True))

@@ -25,8 +25,8 @@ def project_summary(inventory: DataFrame, sort: bool = True) -> DataFrame:
     One shuffle: the name sets are combined in the map tasks before it, so a project with
     a large share of the rows arrives as one partial set per task.
     """
-    names = F.array_sort(F.collect_set(_filled("project_name")))
-    envs = F.array_sort(F.collect_set(_filled("environment")))
+    names = F.sort_array(F.collect_set(_filled("project_name")))
+    envs = F.sort_array(F.collect_set(_filled("environment")))
     grouped = (
         inventory.where(F.col("project_id") != "")
         .groupBy("project_id")
@@ -124,7 +124,7 @@ def apply_tally(
         .agg(
             F.count("*").alias("total"),
             F.count_if(done).alias("applied"),
-            F.array_sort(F.collect_list(F.when(~done, F.col(name)))).alias("failed_names"),
+            F.sort_array(F.collect_list(F.when(~done, F.col(name)))).alias("failed_names"),
         )
         .withColumn("verdict", verdict(F.col("total"), F.col("applied")))
     )

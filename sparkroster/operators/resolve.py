@@ -217,5 +217,5 @@ def inconsistent_names(inventory: DataFrame) -> DataFrame:
     return (
         inconsistent_pairs(inventory)
         .groupBy("side", "key")
-        .agg(F.array_sort(F.collect_list("value")).alias("values"), F.count("*").alias("n"))
+        .agg(F.sort_array(F.collect_list("value")).alias("values"), F.count("*").alias("n"))
     )

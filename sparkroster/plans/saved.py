@@ -56,30 +56,32 @@ def _fields(spec: str) -> list[T.StructField]:
     return T.StructType.fromDDL(spec).fields
 
 
-def bind_params(params: Column | str, spec: str) -> tuple[Column, Column]:
-    """(typed values as a struct, errors as an array) of a parameter map.
+def bind_params(calls: DataFrame, spec: str, params: str = "params") -> DataFrame:
+    """Calls with their parameter map bound: (values, errors) in its place.
 
-    ``spec`` reads ``name:type, …``. A missing, unknown or uncastable parameter is an error.
+    ``spec`` reads ``name:type, …`` and gives the typed struct ``values``. ``errors`` is an
+    array of the missing, uncastable and unknown parameters.
     """
-    params = or_empty(params)
     fields = _fields(spec)
     names = F.array(*[F.lit(f.name) for f in fields])
-    values, errors = [], []
-    for f in fields:
-        given = params[f.name]
-        typed = given.try_cast(f.dataType)
-        values.append(typed.alias(f.name))
-        errors.append(
-            F.when(~F.map_contains_key(params, F.lit(f.name)), F.lit(f"missing: {f.name}")).when(
-                given.isNotNull() & typed.isNull(),
-                F.lit(f"not {f.dataType.simpleString()}: {f.name}"),
-            )
+    given = calls.withColumn(params, or_empty(params))
+    typed = given.withColumn(
+        "values",
+        F.struct(*[F.col(params)[f.name].try_cast(f.dataType).alias(f.name) for f in fields]),
+    )
+    wrong = [
+        F.when(~F.map_contains_key(params, f.name), f"missing: {f.name}").when(
+            F.col(params)[f.name].isNotNull() & F.col("values")[f.name].isNull(),
+            f"not {f.dataType.simpleString()}: {f.name}",
         )
+        for f in fields
+    ]
     unknown = F.transform(
-        F.array_sort(F.array_except(F.map_keys(params), names)),
+        F.sort_array(F.array_except(F.map_keys(params), names)),
         lambda k: F.concat(F.lit("unknown: "), k),
     )
-    return F.struct(*values), F.concat(F.array_compact(F.array(*errors)), unknown)
+    errors = F.concat(F.array_compact(F.array(*wrong)), unknown)
+    return typed.withColumn("errors", errors).drop(params)
 
 
 def _literal_map(values: Mapping[str, object] | None) -> Column:
@@ -108,8 +110,7 @@ def resolve_params(
     one = spark.sql("SELECT 1")
     if not spec:
         return dict(one.select(merged.alias("p")).first().p)
-    values, errors = bind_params(merged, spec)
-    row = one.select(values.alias("values"), errors.alias("errors")).first()
+    row = bind_params(one.select(merged.alias("params")), spec).first()
     if row["errors"]:
         raise ValueError("; ".join(row["errors"]))
     return row["values"].asDict()

@@ -39,7 +39,7 @@ def files_as_entries(
     """
     return (
         files_as_rows(spark, paths)
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("data"))
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("data"))
         .select(
             F.lit(kind).alias("kind"),
             F.lit(namespace).alias("namespace"),
@@ -72,8 +72,8 @@ def resolve_file_fields(
     pair = F.struct("_field", "value")
     there = F.col("value").isNotNull()
     per_entry = found.groupBy(*key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(there, pair)))).alias("_encoded"),
-        F.array_sort(F.collect_list(F.when(~there, F.col("_field")))).alias("_missing"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(there, pair)))).alias("_encoded"),
+        F.sort_array(F.collect_list(F.when(~there, F.col("_field")))).alias("_missing"),
     )
     missing = F.coalesce("_missing", F.array().cast("array<string>"))
     return entries.join(per_entry, key, "left").select(
