@@ -134,6 +134,51 @@ def run_outcomes_stream_closed(spark, sf_dir):
     )
 
 
+_SHIP_TIMEOUT, _SHIP_DELAY = 90 * 86400, 43200
+
+
+@query(
+    f"""WITH clock AS (
+      SELECT least((SELECT max(o_orderdate) FROM orders),
+                   (SELECT max(l_shipdate) FROM lineitem WHERE l_returnflag <> 'N'))
+             - INTERVAL {_SHIP_DELAY} SECOND - INTERVAL {_SHIP_TIMEOUT} SECOND AS until),
+    r AS (
+      SELECT o_orderkey, min(l_shipdate) FILTER (l_returnflag = 'A') AS ok_at,
+             min(l_shipdate) FILTER (l_returnflag = 'R') AS bad_at
+      FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate
+        AND l_shipdate <= o_orderdate + INTERVAL {_SHIP_TIMEOUT} SECOND
+      WHERE o_orderdate < (SELECT until FROM clock) GROUP BY o_orderkey)
+    SELECT o_orderkey::VARCHAR AS run_id,
+           CASE WHEN least(ok_at, bad_at) IS NULL THEN 'timeout'
+             WHEN ok_at = least(ok_at, bad_at) THEN 'succeeded' ELSE 'failed' END AS outcome,
+           coalesce({iso_sql("least(ok_at, bad_at)")}, 'N/A') AS decided_at
+    FROM r"""
+)
+def run_outcomes_stream_joined(spark, sf_dir):
+    """Orders start runs, their lines decide them; two streams joined by run and time."""
+
+    def stream(name: str) -> DataFrame:
+        read = spark.readStream.schema(table(spark, sf_dir, name).schema)
+        return read.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+    starts = stream("orders").select(
+        F.col("o_orderkey").cast("string").alias("run_id"),
+        F.col("o_orderdate").cast("timestamp").alias("start_time"),
+    )
+    flag = F.col("l_returnflag")
+    samples = stream("lineitem").select(
+        F.col("l_orderkey").cast("string").alias("run_id"),
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.when(flag == "A", 1).alias("succeeded"),
+        F.when(flag == "R", 1).alias("failed"),
+    )
+    outcomes = run_outcomes_stream(samples, starts, _SHIP_TIMEOUT, _SHIP_DELAY)
+    path = work_dir(spark, "shipped")
+    write_outcomes(outcomes, f"{path}/table", f"{path}/checkpoint", True).awaitTermination()
+    closed = spark.read.schema(outcomes.schema).parquet(f"{path}/table")
+    return closed.select("run_id", "outcome", iso_time("decided_at").alias("decided_at"))
+
+
 @query(
     """WITH c AS (SELECT *, max(turn // 2) OVER (PARTITION BY conv_id, role) AS pod_at,
              CASE WHEN length(text) < 400 THEN 0 ELSE 1 END AS ci FROM conversations),

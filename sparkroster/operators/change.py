@@ -2,8 +2,8 @@
 
 Each function takes at most one change per key (the lowest ``seq`` when there are several;
 an ordered log with many changes per key goes through :mod:`.changelog`) and returns the
-new table together with one result row per change. Plain Parquet has no atomic merge:
-write the new table to a new path.
+new table together with one result row per change. A requested ``name`` counts in lower
+case. Plain Parquet has no atomic merge: write the new table to a new path.
 """
 
 from __future__ import annotations
@@ -29,6 +29,11 @@ class Changed(NamedTuple):
     results: DataFrame
 
 
+def by_lower_name(changes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Changes with the requested name in lower case, where the key has a name."""
+    return changes.withColumn("name", F.lower("name")) if "name" in key else changes
+
+
 def first_change(changes: DataFrame, key: Sequence[str]) -> DataFrame:
     """The change with the lowest ``seq`` of every key, reduced before the shuffle."""
     rest = [c for c in changes.columns if c not in key]
@@ -55,11 +60,10 @@ def _results(
 
 def _fill(df: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of ``like``; those the rows do not have are null."""
-    types = {f.name: f.dataType for f in like.schema.fields}
     return df.select(
         *[
-            F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t).alias(c)
-            for c, t in types.items()
+            F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in like.schema.fields
         ]
     )
 
@@ -68,6 +72,7 @@ def create_if_absent(
     base: DataFrame, changes: DataFrame, key: Sequence[str] = ENTRY_KEY
 ) -> Changed:
     """Insert rows whose key is new. A taken key, also by an earlier change, is a conflict."""
+    changes = by_lower_name(changes, key)
     new = first_change(changes, key).join(base.select(*key), list(key), "left_anti")
     table = base.unionByName(_fill(new.withColumn("data", drop_nulls(or_empty("data"))), base))
     status = F.when(F.col("_present") | ~F.col("_first"), CONFLICT).otherwise("created")
@@ -85,6 +90,7 @@ def replace_existing(
     base: DataFrame, changes: DataFrame, key: Sequence[str] = ENTRY_KEY
 ) -> Changed:
     """Replace the whole data of rows that exist; an absent key is missing."""
+    changes = by_lower_name(changes, key)
     table = (
         _with_change(base, changes, key)
         .withColumn(
@@ -103,6 +109,7 @@ def merge_patch_existing(
     base: DataFrame, changes: DataFrame, key: Sequence[str] = ENTRY_KEY
 ) -> Changed:
     """Merge a patch into rows that exist: values set, nulls remove, other keys stay."""
+    changes = by_lower_name(changes, key)
     table = (
         _with_change(base, changes, key)
         .withColumn(
@@ -122,11 +129,11 @@ def merge_patch_existing(
     return Changed(table, _results(base, changes, key, status))
 
 
-def upsert_labels(inventory: DataFrame, changes: DataFrame) -> Changed:
+def upsert_labels(inventory: DataFrame, changes: DataFrame, insert: bool = True) -> Changed:
     """Insert namespaces, or merge labels and annotations into those that exist.
 
     A null map leaves its side alone; a null label value removes the label. The flat label
-    columns follow the label map.
+    columns follow the label map. Without ``insert`` an absent namespace is missing.
     """
     key = ("namespace",)
     new = first_change(changes, key).select(
@@ -134,7 +141,8 @@ def upsert_labels(inventory: DataFrame, changes: DataFrame) -> Changed:
         F.col("labels").alias("_labels"),
         F.col("annotations").alias("_annotations"),
     )
-    merged = inventory.join(new, list(key), "full_outer").withColumns(
+    how = "full_outer" if insert else "left"
+    merged = inventory.join(new, list(key), how).withColumns(
         {
             "labels": merge_patch("labels", "_labels"),
             "annotations": merge_patch("annotations", "_annotations"),
@@ -144,6 +152,7 @@ def upsert_labels(inventory: DataFrame, changes: DataFrame) -> Changed:
     nothing = F.col("labels").isNull() & F.col("annotations").isNull()
     status = (
         F.when(F.col("_present") & nothing, "noop")
+        .when(~F.col("_present") & F.lit(not insert), "missing")
         .when(~F.col("_first"), SKIPPED)
         .when(F.col("_present"), "patched")
         .otherwise("created")
@@ -158,7 +167,7 @@ def delete_if_present(
 
     One result row per distinct key.
     """
-    wanted = keys.select(*key).distinct()
+    wanted = by_lower_name(keys, key).select(*key).distinct()
     table = base.join(wanted, list(key), "left_anti")
     present = base.select(*key, F.lit(True).alias("_present"))
     results = wanted.join(present, list(key), "left").select(

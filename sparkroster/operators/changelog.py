@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkroster.functions import drop_nulls, merge_patch, or_empty
-from sparkroster.operators.change import Changed
+from sparkroster.operators.change import Changed, by_lower_name
 from sparkroster.schemas import ENTRY_KEY
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def apply_changes(
@@ -40,7 +40,7 @@ def apply_changes(
     sets_present = (
         F.when(F.col("op").isin("create", "upsert"), True).when(F.col("op") == "delete", False)
     )
-    log = changes.select(*key, "seq", "op", "data").withColumns(
+    log = by_lower_name(changes, key).select(*key, "seq", "op", "data").withColumns(
         {"_piece": F.expr(f"seq div {int(piece)}"), "_sets": sets_present}
     )
     before = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +13,25 @@ DEFAULT_SUB_DIR = "output"
 _NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
-def write_parquet(df: DataFrame, base: str, sub_dir: str = DEFAULT_SUB_DIR) -> str:
-    """Append to ``base/sub_dir`` under new file names; earlier output stays. The path is returned."""
+def write_parquet(
+    df: DataFrame,
+    base: str,
+    sub_dir: str = DEFAULT_SUB_DIR,
+    partition_by: Sequence[str] = (),
+) -> str:
+    """Append to ``base/sub_dir`` under new file names; earlier output stays.
+
+    A table read one namespace at a time is best partitioned by it: the read then lists and
+    opens only that namespace. The path is returned.
+    """
     path = f"{base.rstrip('/')}/{sub_dir}"
-    df.write.mode("append").parquet(path)
+    df.write.mode("append").partitionBy(*partition_by).parquet(path)
     return path
 
 
 def _shape(schema: T.StructType) -> list[tuple[str, str]]:
-    return [(f.name, f.dataType.simpleString()) for f in schema.fields]
+    """Names and types; partition columns come last when read back, so order is left out."""
+    return sorted((f.name, f.dataType.simpleString()) for f in schema.fields)
 
 
 def verify_written(

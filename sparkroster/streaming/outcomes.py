@@ -17,35 +17,54 @@ def run_outcomes_stream(
 ) -> DataFrame:
     """(run_id, start_time, outcome, decided_at) of every run that is closed.
 
-    A run is closed once the stream has seen a start later than its own by the timeout and
-    the allowed delay; by then each of its samples in time has arrived, so the result is
-    the one of the batch rule, whatever the order of arrival. The event time is the start,
-    which every sample carries; ``starts`` adds (run_id, start_time) of runs that may never
-    be sampled.
+    A run is closed once its timeout and the allowed delay have passed in event time; by
+    then each of its samples in time has arrived, so the result is the one of the batch
+    rule, whatever the order of arrival. Runs that are open when the stream ends are not
+    in the result.
 
-    One stateful operator with two times per open run as its state. The samples of a run
-    are reduced in the map tasks of every micro-batch, so a run with very many samples
-    costs no more state or shuffle than any other.
+    Without ``starts`` every sample carries the start of its run, and one aggregation does
+    it: two times per open run as the state, and the samples of a run reduced in the map
+    tasks of every micro-batch, so that a run with very many samples costs no more state or
+    shuffle than any other. With ``starts`` (run_id, start_time) the samples need no start,
+    and runs that are never sampled time out: an interval join keeps the deciding samples
+    of open runs, and the aggregation after it takes the first.
     """
     ok = F.coalesce("succeeded", F.lit(0)) > 0
     bad = F.coalesce("failed", F.lit(0)) > 0
-    deadline = F.timestamp_add("SECOND", F.lit(timeout_s), F.col("start_time"))
-    in_time = F.col("ts") <= deadline
-    rows = samples.where(F.col("start_time").isNotNull()).select(
-        "run_id",
-        "start_time",
-        F.when(in_time & ok, F.col("ts")).alias("_ok_at"),
-        F.when(in_time & bad & ~ok, F.col("ts")).alias("_bad_at"),
-    )
-    if starts is not None:
-        none = F.lit(None).cast("timestamp")
-        rows = rows.unionByName(
-            starts.select("run_id", "start_time", none.alias("_ok_at"), none.alias("_bad_at"))
+    if starts is None:
+        deadline = F.timestamp_add("SECOND", F.lit(timeout_s), F.col("start_time"))
+        in_time = F.col("ts") <= deadline
+        rows = (
+            samples.where(F.col("start_time").isNotNull())
+            .select(
+                "run_id",
+                "start_time",
+                F.when(in_time & ok, F.col("ts")).alias("_ok_at"),
+                F.when(in_time & bad & ~ok, F.col("ts")).alias("_bad_at"),
+            )
+            .withWatermark("start_time", f"{timeout_s + delay_s} seconds")
+        )
+    else:
+        begun = starts.select("run_id", "start_time").withWatermark(
+            "start_time", f"{delay_s} seconds"
+        )
+        ended = (
+            samples.where(ok | bad)
+            .select(F.col("run_id").alias("_run"), "ts", ok.alias("_ok"))
+            .withWatermark("ts", f"{delay_s} seconds")
+        )
+        in_time = F.expr(
+            "run_id = _run AND ts >= start_time "
+            f"AND ts <= start_time + INTERVAL {int(timeout_s)} SECONDS"
+        )
+        rows = begun.join(ended, in_time, "left_outer").select(
+            "run_id",
+            "start_time",
+            F.when(F.col("_ok"), F.col("ts")).alias("_ok_at"),
+            F.when(~F.col("_ok"), F.col("ts")).alias("_bad_at"),
         )
-    firsts = (
-        rows.withWatermark("start_time", f"{timeout_s + delay_s} seconds")
-        .groupBy("run_id", "start_time")
-        .agg(F.min("_ok_at").alias("_ok_at"), F.min("_bad_at").alias("_bad_at"))
+    firsts = rows.groupBy("run_id", "start_time").agg(
+        F.min("_ok_at").alias("_ok_at"), F.min("_bad_at").alias("_bad_at")
     )
     decided = F.least("_ok_at", "_bad_at")
     return firsts.select(

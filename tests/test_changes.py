@@ -26,6 +26,39 @@ def test_create(spark):
     }
 
 
+def test_requested_names_count_in_lower_case(spark):
+    base = entries(spark, {"a": {"x": "1"}})
+    log = changes(spark, ("A", 1, "patch", {"y": "2"}), ("New", 2, "create", {"z": "3"}))
+    assert as_dict(op.create_if_absent(base, log).table) == {"a": {"x": "1"}, "new": {"z": "3"}}
+    assert as_dict(op.merge_patch_existing(base, log).table) == {"a": {"x": "1", "y": "2"}}
+    assert as_dict(op.replace_existing(base, log).table) == {"a": {"y": "2"}}
+    assert as_dict(op.delete_if_present(base, log).table) == {}
+    done = op.apply_changes(base, log)
+    assert as_dict(done.table) == {"a": {"x": "1", "y": "2"}, "new": {"z": "3"}}
+    assert {r.name for r in done.results.collect()} == {"a", "new"}
+
+
+def test_maps_of_values_that_are_never_null(spark):
+    """Map literals have another type than maps that were read from a file."""
+    base = spark.range(1).select(
+        F.lit("secret").alias("kind"),
+        F.lit("default").alias("namespace"),
+        F.lit("a").alias("name"),
+        F.lit(None).cast("map<string,string>").alias("labels"),
+        F.create_map(F.lit("x"), F.lit("1")).alias("data"),
+    )
+    log = changes(spark, ("a", 1, "patch", {"y": "2"}), ("b", 2, "create", {"z": None}))
+    for act in (op.create_if_absent, op.replace_existing, op.merge_patch_existing, op.apply_changes):
+        act(base, log).table.collect()
+        act(base, log).results.collect()
+    strict = log.withColumn("data", F.create_map(F.lit("q"), F.lit("1")))
+    assert as_dict(op.create_if_absent(base, strict).table) == {"a": {"x": "1"}, "b": {"q": "1"}}
+    assert as_dict(op.apply_changes(base, strict).table) == {
+        "a": {"x": "1", "q": "1"},
+        "b": {"q": "1"},
+    }
+
+
 def test_replace(spark):
     base = entries(spark, {"a": {"x": "1"}, "c": {"k": "v"}})
     done = op.replace_existing(
@@ -102,6 +135,17 @@ def test_upsert_labels(spark):
     }
 
 
+def test_labels_of_existing_namespaces_only(spark):
+    inv = inventory(spark, ns("p", "n", "dev"))
+    asked = spark.createDataFrame(
+        [("p-dev", 1, {"project-name": "m"}, None), ("p-new", 2, {"project-name": "m"}, None)],
+        "namespace string, seq long, labels map<string,string>, annotations map<string,string>",
+    )
+    done = op.upsert_labels(inv, asked, insert=False)
+    assert {r.namespace: r.project_name for r in done.table.collect()} == {"p-dev": "m"}
+    assert statuses(done.results, "namespace") == {"p-dev": "patched", "p-new": "missing"}
+
+
 def test_write_if_changed_twice_is_unchanged(spark):
     base = spark.createDataFrame(
         [(1, "a", {"x": "1", "y": "2"}), (2, None, None), (3, "c", {})],

@@ -10,6 +10,7 @@ from sparkroster import operators as op
 from sparkroster.operators.skew import hot_keys, key_counts, lookup
 from sparkroster.schemas import INVENTORY, RUN_LOGS
 from sparkroster.session import work_dir
+from sparkroster.sources import verify_written, write_parquet
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -41,6 +42,17 @@ def test_flat_label_reaches_the_scan(spark):
     assert re.search(r"ReadSchema: struct<namespace:string,project_id:string>", plan)
 
 
+def test_scope_prunes_partitions(spark):
+    rows = spark.range(10).select(
+        F.when(F.col("id") < 4, "default").otherwise("other").alias("namespace"), "id"
+    )
+    path = write_parquet(rows, work_dir(spark, "scoped"), partition_by=["namespace"])
+    scoped = op.scope_filter(spark.read.parquet(path))
+    assert re.search(r"PartitionFilters: \[.*\(namespace#\d+ = default\)", physical(scoped))
+    assert scoped.count() == 4
+    assert verify_written(spark, path, rows.schema).first().schema_ok
+
+
 def test_tail_is_limited_before_the_shuffle(spark):
     logs = spark.createDataFrame([], RUN_LOGS)
     outcomes = spark.createDataFrame([], "run_id string, outcome string")
@@ -48,11 +60,44 @@ def test_tail_is_limited_before_the_shuffle(spark):
     assert re.search(r"WindowGroupLimit .*Partial", plan)
 
 
-def test_summary_is_one_shuffle(spark):
+def test_summary_is_one_shuffle_of_three_columns(spark):
     path = work_dir(spark, "inv")
     spark.createDataFrame([], INVENTORY).write.parquet(path)
     plan = physical(op.project_summary(spark.read.parquet(path), sort=False))
     assert plan.count("Exchange") == 1
+    assert "ReadSchema: struct<project_id:string,project_name:string,environment:string>" in plan
+
+
+def test_adaptive_skew_join_covers_joins_of_plain_tables(spark, no_broadcast):
+    """Those lookups that do not go through ``lookup`` are split by the engine."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        project = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+        rows = spark.range(150_000).select(
+            F.concat(F.lit("ns-"), "id").alias("namespace"),
+            F.concat(F.lit("proj-"), project).alias("project_id"),
+            F.concat(F.lit("team-"), project).alias("project_name"),
+            F.concat(F.lit("env-"), "id").alias("environment"),
+            F.lit("Active").alias("phase"),
+            F.timestamp_seconds("id").alias("created_at"),
+        )
+        requests = spark.range(500).select(
+            F.col("id").alias("request_id"), F.concat(F.lit("Team-"), "id").alias("project_name")
+        )
+        out = op.project_environments(requests, rows, sort=False)
+        assert len(out.collect()) == 50_000 + 333
+        assert "skew=true" in physical(out)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_hot_keys_are_few_and_exact(spark):

@@ -111,53 +111,66 @@ def test_outcomes_equal_the_step_by_step_rule(spark, shares):
     assert {r.run_id: tuple(r)[1:] for r in got.collect()} == model(rows, 20_000)
 
 
-def test_stream_equals_batch_for_closed_runs(spark):
-    """Files out of order: the result does not depend on the order of arrival."""
-    rnd = random.Random(3)
+def arrivals(seed):
+    """Runs with their samples in an order that is late by less than the allowed delay."""
+    rnd = random.Random(seed)
     rows = []
     for i in range(200):
-        run, start = f"r{i}", rnd.randrange(0, 50_000)
+        run, start = f"r{i}", rnd.randrange(1_000, 50_000)
         for _ in range(rnd.randrange(1, 8)):
             p = rnd.random()
             second = start + rnd.randrange(0, 1_000)
             rows.append((run, start, second, 1, int(p < 0.15), int(0.15 < p < 0.3)))
     rows.sort(key=lambda r: r[2] + rnd.randrange(0, 250))
-    rows.append(("last", 60_000, 60_000, 1, 0, 0))
-    path = work_dir(spark, "stream")
-    parts = [rows[i : i + 90] for i in range(0, len(rows), 90)]
-    for part in parts:
-        samples(spark, part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return rows + [("last", 60_000, 60_000, 1, 0, 0)]
+
+
+def write_parts(df_of, rows, path, size):
+    for i in range(0, len(rows), size):
+        df_of(rows[i : i + size]).coalesce(1).write.mode("append").parquet(path)
+
+
+def closed_runs(spark, out, path):
+    write_outcomes(out, f"{path}/out", f"{path}/check", available_now=True).awaitTermination()
+    table = spark.read.schema(out.schema).parquet(f"{path}/out").collect()
+    got = {r.run_id: (r.outcome, r.decided_at) for r in table}
+    assert len(got) == len(table)
+    return got
+
+
+def batch_runs(spark, rows):
+    out = op.run_outcomes(samples(spark, rows), 600).collect()
+    return {r.run_id: (r.outcome, r.decided_at) for r in out if r.run_id != "last"}
+
+
+def test_stream_equals_batch_for_closed_runs(spark):
+    """Files out of order: the result does not depend on the order of arrival."""
+    rows, path = arrivals(3), work_dir(spark, "stream")
+    write_parts(lambda part: samples(spark, part), rows, f"{path}/in", 90)
     stream = (
         spark.readStream.schema(RUN_SAMPLES).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     )
-    out = run_outcomes_stream(stream, timeout_s=600, delay_s=2_000)
-    write_outcomes(out, f"{path}/out", f"{path}/check", available_now=True).awaitTermination()
-    got = {
-        r.run_id: (r.outcome, r.decided_at)
-        for r in spark.read.schema(out.schema).parquet(f"{path}/out").collect()
-    }
-    batch = {
-        r.run_id: (r.outcome, r.decided_at)
-        for r in op.run_outcomes(samples(spark, rows), 600).collect()
-    }
-    batch.pop("last")
-    assert got == batch
+    got = closed_runs(spark, run_outcomes_stream(stream, timeout_s=600, delay_s=2_000), path)
+    assert got == batch_runs(spark, rows)
     assert {o for o, _ in got.values()} == {"succeeded", "failed", "timeout"}
 
 
-def test_stream_counts_runs_that_were_only_started(spark):
-    path = work_dir(spark, "starts")
-    start = F.timestamp_seconds
-    spark.range(3).select(
-        F.concat(F.lit("s"), "id").alias("run_id"), start((F.col("id") + 1) * 10_000).alias("start_time")
-    ).write.parquet(f"{path}/starts")
-    samples(spark, []).write.parquet(f"{path}/in")
-    starts = spark.readStream.schema("run_id string, start_time timestamp").parquet(f"{path}/starts")
-    stream = spark.readStream.schema(RUN_SAMPLES).parquet(f"{path}/in")
-    out = run_outcomes_stream(stream, starts, 600, 60)
-    write_outcomes(out, f"{path}/out", f"{path}/check", available_now=True).awaitTermination()
-    got = {r.run_id: r.outcome for r in spark.read.schema(out.schema).parquet(f"{path}/out").collect()}
-    assert got == {"s0": "timeout", "s1": "timeout"}
+def test_stream_with_starts_equals_batch(spark):
+    """Samples without a start, joined to the starts; some runs are never sampled."""
+    rows, path = arrivals(4), work_dir(spark, "starts")
+    ddl = "run_id string, start_time timestamp"
+    begun = sorted({(r[0], at(r[1])) for r in rows} | {("silent", at(5_000))}, key=lambda r: r[1])
+    write_parts(lambda part: spark.createDataFrame(part, ddl), begun, f"{path}/starts", 60)
+    bare = [(run, None, *rest) for run, _, *rest in rows]
+    # A last sample, so that the clock of the samples passes the last deadline too.
+    bare.append(("last", None, 60_000, 0, 0, 1))
+    write_parts(lambda part: samples(spark, part), bare, f"{path}/in", 200)
+    read = spark.readStream.option("maxFilesPerTrigger", 1)
+    starts = read.schema(ddl).parquet(f"{path}/starts")
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema(RUN_SAMPLES).parquet(f"{path}/in")
+    got = closed_runs(spark, run_outcomes_stream(stream, starts, 600, 2_000), path)
+    assert got.pop("silent") == ("timeout", None)
+    assert got == batch_runs(spark, rows)
 
 
 def test_tail(spark):
