@@ -44,7 +44,7 @@ def rename_projects(
         F.col("_owner_max") != F.col("project_id")
     )
     found = lookup(asked, old, "_old")
-    judged = lookup(found, new, "_new", counts=key_counts(asked, ["_new"])).select(
+    judged = lookup(found, new, "_new", counted=asked).select(
         "request_id",
         "_new",
         "project_id",
@@ -71,7 +71,7 @@ def rename_projects(
 
     label = F.create_map(F.lit(columns["project_name"]), F.col("_new"))
     table = (
-        lookup(inventory, winners.select("project_id", "_new"), "project_id", counts=rows)
+        lookup(inventory, winners.select("project_id", "_new"), "project_id")
         .withColumns(
             {
                 "project_name": F.coalesce("_new", "project_name"),
@@ -128,8 +128,8 @@ def drop_projects(
         .select("project_id")
         .distinct()
     )
-    kept = lookup(inventory, ids, "project_id", "left_anti", rows).select(*inventory.columns)
-    removed = lookup(inventory, ids, "project_id", "left_semi", rows).select(*inventory.columns)
+    kept = lookup(inventory, ids, "project_id", "left_anti").select(*inventory.columns)
+    removed = lookup(inventory, ids, "project_id", "left_semi").select(*inventory.columns)
     results = lookup(asked, names, "_name").select(
         "request_id",
         "project_id",

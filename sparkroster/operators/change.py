@@ -45,14 +45,14 @@ def _results(
     base: DataFrame, changes: DataFrame, key: Sequence[str], status: Column
 ) -> DataFrame:
     """Result rows; ``status`` may use ``_present`` and ``_first`` next to the change."""
-    per_key = changes.groupBy(*key).agg(
-        F.min("seq").alias("_first_seq"), F.count("*").alias("n")
+    known = (
+        changes.groupBy(*key)
+        .agg(F.min("seq").alias("_first_seq"))
+        .join(base.select(*key, F.lit(True).alias("_present")), list(key), "left")
+        .withColumn("_present", F.coalesce("_present", F.lit(False)))
     )
-    known = per_key.join(
-        base.select(*key, F.lit(True).alias("_present")), list(key), "left"
-    ).withColumn("_present", F.coalesce("_present", F.lit(False)))
     return (
-        lookup(changes, known.drop("n"), key, "inner", per_key.select(*key, "n"))
+        lookup(changes, known, key, "inner")
         .withColumn("_first", F.col("seq") == F.col("_first_seq"))
         .select(*key, "seq", status.alias("status"))
     )

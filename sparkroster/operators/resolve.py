@@ -197,9 +197,8 @@ def inconsistent_pairs(inventory: DataFrame) -> DataFrame:
     )
 
     def side(label: str, key: str, value: str) -> DataFrame:
-        counts = key_counts(pairs, [key])
-        bad = counts.where(F.col("n") > 1)
-        return lookup(pairs, bad.select(key), key, "left_semi", counts).select(
+        bad = key_counts(pairs, [key]).where(F.col("n") > 1).select(key)
+        return lookup(pairs, bad, key, "left_semi").select(
             F.lit(label).alias("side"), F.col(key).alias("key"), F.col(value).alias("value")
         )
 

@@ -65,7 +65,6 @@ def run_outcomes(
         F.coalesce(F.min("start_time"), F.min("ts")).alias("start"),
         F.min(F.when(ok, F.col("ts"))).alias("_ok_at"),
         F.min(F.when(bad & ~ok, F.col("ts"))).alias("_bad_at"),
-        F.count("*").alias("n"),
     )
     deadline = F.timestamp_add("SECOND", F.lit(timeout_s), F.col("start"))
     first = F.least("_ok_at", "_bad_at")
@@ -85,7 +84,6 @@ def run_outcomes(
             outcomes.select("run_id", "decided_at", "_deadline"),
             "run_id",
             "inner",
-            counts=runs.select("run_id", "n"),
             shares=shares,
         )
         .groupBy("run_id")

@@ -17,19 +17,21 @@ from pyspark.sql import functions as F
 SHARES = 64
 
 
-def hot_keys(counts: DataFrame, key: Sequence[str], n: str = "n", shares: int = SHARES) -> DataFrame:
-    """Keys that hold more than one ``shares``-th of all counted rows.
+def key_counts(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows per key without nulls, counted in the map tasks first."""
+    for k in key:
+        rows = rows.where(F.col(k).isNotNull())
+    return rows.groupBy(*key).agg(F.count("*").alias("n"))
+
+
+def hot_keys(rows: DataFrame, key: Sequence[str], shares: int = SHARES) -> DataFrame:
+    """Keys that hold more than one ``shares``-th of all rows.
 
     There are fewer than ``shares`` of them whatever the data, so the result may be
     broadcast.
     """
-    total = counts.agg(F.sum(n)).scalar()
-    return counts.where(F.col(n) * F.lit(shares) > total).select(*key)
-
-
-def key_counts(rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows per key, counted in the map tasks first."""
-    return rows.groupBy(*key).agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*")).scalar()
+    return key_counts(rows, key).where(F.col("n") * F.lit(shares) > total).select(*key)
 
 
 def _row_hash(rows: DataFrame, key: Sequence[str]) -> Column:
@@ -47,16 +49,17 @@ def lookup(
     right: DataFrame,
     key: str | Sequence[str],
     how: str = "left",
-    counts: DataFrame | None = None,
+    counted: DataFrame | None = None,
     shares: int = SHARES,
 ) -> DataFrame:
     """Join ``rows`` to ``right``, which has one row per key (left, inner, semi or anti).
 
-    ``counts`` (key, n) saves counting the rows where the caller has the counts already.
+    Keys are counted in ``rows``, or in ``counted`` where a table from before earlier joins
+    has the same keys and is cheaper to read.
     """
     key = [key] if isinstance(key, str) else list(key)
-    counts = key_counts(rows, key) if counts is None else counts
-    marks = F.broadcast(hot_keys(counts, key, shares=shares).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(rows if counted is None else counted, key, shares)
+    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     no_key = F.lit(False)
     for k in key:
         no_key = no_key | F.col(k).isNull()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from sparkroster import operators as op
-from sparkroster.operators.skew import hot_keys, key_counts, lookup
+from sparkroster.operators.skew import hot_keys, lookup
 from sparkroster.schemas import INVENTORY, RUN_LOGS
 from sparkroster.session import work_dir
 from sparkroster.sources import verify_written, write_parquet
@@ -104,7 +104,7 @@ def test_hot_keys_are_few_and_exact(spark):
     rows = spark.range(10_000).select(
         F.when(F.col("id") < 3_400, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id"
     )
-    hot = hot_keys(key_counts(rows, ["k"]), ["k"], shares=16)
+    hot = hot_keys(rows, ["k"], shares=16)
     assert [r.k for r in hot.collect()] == ["hot"]
 
 
