@@ -165,6 +165,16 @@ def name_owner(spark, sf_dir):
     return out.select("request_id", "owner_id", "taken", "multi_owner")
 
 
+@query(
+    f"""WITH {INV}, {REQ}
+    SELECT namespace, project_id, project_name FROM inv
+    WHERE project_name IN (SELECT lower(project_name) FROM req)"""
+)
+def only_named(spark, sf_dir):
+    rows = op.only_named(inventory(spark, sf_dir), _requests(spark, sf_dir))
+    return rows.select("namespace", "project_id", "project_name")
+
+
 _ENV_NS = f"substr(r.project_id || '-' || {dash_sql('lower(r.environment)')}, 1, 63)"
 
 

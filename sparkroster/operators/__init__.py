@@ -26,6 +26,7 @@ from sparkroster.operators.resolve import (
     inconsistent_names,
     inconsistent_pairs,
     name_owner,
+    only_named,
     resolve_environments,
     resolve_names,
 )
@@ -65,6 +66,7 @@ __all__ = [
     "list_entries",
     "merge_patch_existing",
     "name_owner",
+    "only_named",
     "project_environment_rows",
     "project_environments",
     "project_summary",

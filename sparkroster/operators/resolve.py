@@ -20,6 +20,20 @@ NOT_FOUND = "not_found"
 AMBIGUOUS = "ambiguous"
 
 
+def only_named(inventory: DataFrame, requests: DataFrame, *names: str) -> DataFrame:
+    """Rows of the inventory that carry a requested project name.
+
+    For few requests against a large inventory: a request table that the engine broadcasts
+    filters the inventory in its scan, before anything is grouped or shuffled. Name and
+    owner lookups give the same results on the rows that are left.
+    """
+    asked = None
+    for name in names or ("project_name",):
+        one = requests.select(F.lower(F.col(name)).alias("project_name"))
+        asked = one if asked is None else asked.union(one)
+    return inventory.join(asked.distinct(), "project_name", "left_semi").select(*inventory.columns)
+
+
 def name_index(inventory: DataFrame) -> DataFrame:
     """One row per project name with its lowest and highest id.
 

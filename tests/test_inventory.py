@@ -95,6 +95,26 @@ def test_resolution_with_empty_and_missing_ids(spark):
     }
 
 
+def test_few_requests_narrow_the_inventory_first(spark):
+    inv = inventory(
+        spark, ns("p1", "one", "dev"), ns("p2", "two", "dev"), ns("p3", "two", "dev"), ns("p4", "x", "dev")
+    )
+    asked = requests(
+        spark,
+        [(1, "ONE", "Two"), (2, "Two", "none")],
+        "request_id long, project_name string, new_name string",
+    )
+    narrow = op.only_named(inv, asked)
+    assert sorted(r.namespace for r in narrow.collect()) == ["p1-dev", "p2-dev", "p3-dev"]
+    assert narrow.columns == inv.columns
+    for act in (op.resolve_names, op.name_owner):
+        assert sorted(map(str, act(asked, narrow).collect())) == sorted(
+            map(str, act(asked, inv).collect())
+        )
+    both = op.only_named(inv, asked.limit(1), "project_name", "new_name")
+    assert both.count() == 3
+
+
 def test_parents(spark):
     url = {"repo-url": "u"}
     inv = inventory(
