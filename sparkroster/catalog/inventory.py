@@ -317,6 +317,138 @@ def project_environments(spark, sf_dir):
     return op.project_environments(requests, inventory(spark, sf_dir))
 
 
+def _new_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two customers ask for each new name; the names of one segment exist already."""
+    key = F.col("c_custkey")
+    name = F.when(
+        F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("Team-"), key.cast("string"))
+    ).otherwise(F.concat(F.lit("Fresh App "), F.floor(key / 2).cast("string")))
+    return table(spark, sf_dir, "customer").select(
+        key.alias("request_id"), name.alias("project_name")
+    )
+
+
+_FOUNDED = f"""{INV}, req AS (
+      SELECT c_custkey AS request_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'team-' || c_custkey
+               ELSE 'fresh app ' || (c_custkey // 2) END AS project_name
+      FROM customer),
+    made AS (
+      SELECT project_name, min(request_id) AS request_id,
+             'proj-' || substr(sha256('b1/' || min(request_id) || '/' || project_name), 1, 12)
+               AS project_id
+      FROM req WHERE project_name NOT IN (SELECT project_name FROM inv WHERE project_id <> '')
+      GROUP BY project_name)"""
+
+
+@query(
+    f"""WITH {_FOUNDED}
+    SELECT namespace, project_id, project_name, environment, repo_name, repo_url,
+           project_name AS label FROM inv
+    UNION ALL
+    SELECT project_id || '-dev', project_id, project_name, 'dev',
+           'project-' || {dash_sql("project_name")}, 'git/project-' || {dash_sql("project_name")},
+           project_name
+    FROM made"""
+)
+def create_projects(spark, sf_dir):
+    done = op.create_projects(inventory(spark, sf_dir), _new_projects(spark, sf_dir), "b1", "git/")
+    return done.table.select(
+        "namespace",
+        "project_id",
+        "project_name",
+        "environment",
+        "repo_name",
+        F.col("annotations")["repo-url"].alias("repo_url"),
+        F.col("labels")["project-name"].alias("label"),
+    )
+
+
+@query(
+    f"""WITH {_FOUNDED}
+    SELECT r.request_id, m.project_id, m.project_id || '-dev' AS namespace,
+           CASE WHEN m.project_id IS NULL THEN 'taken' ELSE 'created' END AS status
+    FROM req r LEFT JOIN made m ON m.request_id = r.request_id"""
+)
+def create_projects_results(spark, sf_dir):
+    asked = _new_projects(spark, sf_dir)
+    return op.create_projects(inventory(spark, sf_dir), asked, "b1", "git/").results
+
+
+def _new_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two customers ask for each new environment, by segment with different parents."""
+    name = F.concat(F.lit("TEAM-"), F.floor(F.col("c_custkey") / 2).cast("string"))
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("request_id"),
+        name.alias("project_name"),
+        _by_segment("Staging", "1-URGENT", "qa", "qa", "qa").alias("environment"),
+        _by_segment("2-HIGH", None, "4-NOT SPECIFIED", "nowhere", "").alias("depends_on"),
+    )
+
+
+_GROWN = f"""{INV}, {NAMES}, repo AS (
+      SELECT project_id, arg_min({{'n': repo_name, 'u': repo_url}}, namespace) AS r
+      FROM inv GROUP BY project_id),
+    req AS (
+      SELECT c_custkey AS request_id, 'team-' || (c_custkey // 2) AS project_name,
+             lower({_by_segment_sql("Staging", "1-URGENT", "qa", "qa", "qa")}) AS env,
+             nullif(lower({_by_segment_sql("2-HIGH", None, "4-NOT SPECIFIED", "nowhere", "")}), '')
+               AS par
+      FROM customer),
+    named AS (
+      SELECT r.*, CASE WHEN n.n_ids = 1 THEN n.id_min END AS project_id FROM req r
+      LEFT JOIN names n ON n.project_name = r.project_name),
+    spaced AS (
+      SELECT *, substr(project_id || '-' || {dash_sql("env")}, 1, 63) AS namespace,
+             substr(project_id || '-' || {dash_sql("par")}, 1, 63) AS par_ns FROM named),
+    judged AS (
+      SELECT s.*, repo.r,
+             CASE WHEN s.project_id IS NULL THEN 'project_not_found'
+                  WHEN t.namespace IS NOT NULL THEN 'exists'
+                  WHEN repo.r.n IS NULL OR repo.r.u IS NULL THEN 'no_repo'
+                  WHEN s.par IS NULL THEN 'ok'
+                  WHEN p.namespace IS NULL THEN 'parent_missing'
+                  WHEN p.project_id IS DISTINCT FROM s.project_id
+                    OR p.environment IS DISTINCT FROM s.par THEN 'parent_mismatch'
+                  ELSE 'ok' END AS status
+      FROM spaced s LEFT JOIN inv t ON t.namespace = s.namespace
+      LEFT JOIN repo ON repo.project_id = s.project_id
+      LEFT JOIN inv p ON p.namespace = s.par_ns),
+    won AS (SELECT min(request_id) AS request_id FROM judged WHERE status = 'ok'
+            GROUP BY namespace)"""
+
+
+@query(
+    f"""WITH {_GROWN}
+    SELECT namespace, project_id, project_name, environment, repo_name, depends_on, repo_url
+    FROM inv UNION ALL
+    SELECT namespace, project_id, project_name, env, r.n, par, r.u FROM judged
+    WHERE request_id IN (SELECT request_id FROM won)"""
+)
+def create_environments(spark, sf_dir):
+    done = op.create_environments(inventory(spark, sf_dir), _new_environments(spark, sf_dir))
+    return done.table.select(
+        "namespace",
+        "project_id",
+        "project_name",
+        "environment",
+        "repo_name",
+        "depends_on",
+        F.col("annotations")["repo-url"].alias("repo_url"),
+    )
+
+
+@query(
+    f"""WITH {_GROWN}
+    SELECT request_id, project_id, namespace,
+           CASE WHEN request_id IN (SELECT request_id FROM won) THEN 'created'
+                WHEN status = 'ok' THEN 'exists' ELSE status END AS status
+    FROM judged"""
+)
+def create_environments_results(spark, sf_dir):
+    asked = _new_environments(spark, sf_dir)
+    return op.create_environments(inventory(spark, sf_dir), asked).results
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("request_id"),

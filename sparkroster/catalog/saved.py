@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkroster import plans, sources
 from sparkroster.catalog.base import query, string_map, table
+from sparkroster.functions import encode
 from sparkroster.schemas import SAVED_QUERIES
 from sparkroster.session import work_dir
 
@@ -73,6 +74,74 @@ def bind_params(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT c.c_custkey::VARCHAR AS name, c.c_name AS literal,
+           base64(encode(p.p_name)) AS cert, base64(encode(q.p_brand)) AS key,
+           CASE WHEN p.p_partkey IS NULL AND q.p_partkey IS NULL THEN 'cert, key'
+                WHEN p.p_partkey IS NULL THEN 'cert' WHEN q.p_partkey IS NULL THEN 'key' ELSE '' END
+             AS missing,
+           CASE WHEN p.p_partkey IS NULL OR q.p_partkey IS NULL THEN 'missing_file' ELSE 'ok' END
+             AS status
+    FROM customer c
+    LEFT JOIN part p ON p.p_partkey = c.c_custkey AND p.p_size < 40
+    LEFT JOIN part q ON q.p_partkey = c.c_custkey + 1 AND q.p_size >= 10"""
+)
+def resolve_file_fields(spark, sf_dir):
+    """Parts as files: small ones hold a certificate, larger ones a key."""
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+
+    def files(folder: str, content: str) -> DataFrame:
+        return part.select(
+            F.concat(F.lit(f"/{folder}/"), key).alias("path"),
+            encode(content).alias("value"),
+            "p_size",
+        )
+
+    stored = files("cert", "p_name").where(F.col("p_size") < 40).unionByName(
+        files("key", "p_brand").where(F.col("p_size") >= 10)
+    )
+    custkey = F.col("c_custkey")
+    entries = table(spark, sf_dir, "customer").select(
+        F.lit("secret").alias("kind"),
+        F.lit("default").alias("namespace"),
+        custkey.cast("string").alias("name"),
+        string_map(
+            name=F.col("c_name"),
+            file_cert=F.concat(F.lit("/cert/"), custkey.cast("string")),
+            file_key=F.concat(F.lit("/key/"), (custkey + 1).cast("string")),
+        ).alias("data"),
+    )
+    return sources.resolve_file_fields(entries, stored).select(
+        "name",
+        F.col("literal")["name"].alias("literal"),
+        F.col("encoded")["cert"].alias("cert"),
+        F.col("encoded")["key"].alias("key"),
+        F.array_join("missing", ", ").alias("missing"),
+        "status",
+    )
+
+
+@query(
+    """SELECT p_partkey::VARCHAR AS name, p_type AS type, p_name AS code, p_brand AS description
+    FROM part"""
+)
+def stored_definitions(spark, sf_dir):
+    """Definitions written in their stored form and read back."""
+    none = F.lit(None).cast("string")
+    defs = table(spark, sf_dir, "part").select(
+        F.lit("default").alias("namespace"),
+        F.col("p_partkey").cast("string").alias("name"),
+        F.col("p_type").alias("type"),
+        none.alias("engine"),
+        F.col("p_name").alias("code"),
+        none.alias("code_path"),
+        none.alias("params_spec"),
+        F.col("p_brand").alias("description"),
+    )
+    back = plans.definitions_from_entries(plans.definitions_as_entries(defs))
+    return back.select("name", "type", "code", "description")
+
+
 _REVENUE = """SELECT l_returnflag, l_linestatus, count(*) AS n_lines, sum(l_quantity) AS quantity
   FROM IDENTIFIER(:lines) WHERE l_quantity >= :least AND l_shipdate < :before
   GROUP BY l_returnflag, l_linestatus"""

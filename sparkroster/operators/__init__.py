@@ -11,6 +11,7 @@ from sparkroster.operators.change import (
     write_if_changed,
 )
 from sparkroster.operators.changelog import apply_changes
+from sparkroster.operators.create import create_environments, create_projects
 from sparkroster.operators.report import (
     apply_counts,
     apply_tally,
@@ -52,7 +53,9 @@ __all__ = [
     "check_delete_targets",
     "check_parents",
     "classify_exit",
+    "create_environments",
     "create_if_absent",
+    "create_projects",
     "delete_if_present",
     "describe_entry",
     "drop_projects",

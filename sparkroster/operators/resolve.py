@@ -18,6 +18,7 @@ from sparkroster.operators.skew import key_counts, lookup
 OK = "ok"
 NOT_FOUND = "not_found"
 AMBIGUOUS = "ambiguous"
+EXISTS = "exists"
 
 
 def only_named(inventory: DataFrame, requests: DataFrame, *names: str) -> DataFrame:
@@ -133,6 +134,21 @@ def check_parents(
 ) -> DataFrame:
     """Requests (project_id, new environment, parent) with the status of the creation.
 
+    Adds (namespace, status).
+    """
+    checked = parents_with_repo(requests, inventory, environment, parent, repo_url)
+    return checked.drop("_repo")
+
+
+def parents_with_repo(
+    requests: DataFrame,
+    inventory: DataFrame,
+    environment: str,
+    parent: str,
+    repo_url: str,
+) -> DataFrame:
+    """:func:`check_parents` with the repository (name, url) of the project as ``_repo``.
+
     The repository is the one of the project's first namespace by name.
     """
     env, par = F.lower(F.col(environment)), F.lower(F.col(parent))
@@ -165,7 +181,7 @@ def check_parents(
     )
     same = F.col("_par_id").eqNullSafe(F.col("project_id")) & F.col("_par_env").eqNullSafe(par)
     status = (
-        F.when(F.col("_taken"), "exists")
+        F.when(F.col("_taken"), EXISTS)
         .when(F.col("_repo.name").isNull() | F.col("_repo.url").isNull(), "no_repo")
         .when(F.col("_par_ns").isNull(), OK)
         .when(F.col("_par_found").isNull(), "parent_missing")
@@ -176,6 +192,7 @@ def check_parents(
         *[F.col(c) for c in requests.columns],
         F.col("_new_ns").alias("namespace"),
         status.alias("status"),
+        "_repo",
     )
 
 

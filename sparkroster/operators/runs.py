@@ -15,7 +15,7 @@ from sparkroster.constants import (
     TAIL_LINES_FAILED,
 )
 from sparkroster.functions import iso_time
-from sparkroster.operators.skew import SHARES, lookup
+from sparkroster.operators.skew import lookup
 
 
 def flatten_status(raw: DataFrame, status: str = "status") -> DataFrame:
@@ -48,7 +48,7 @@ def flatten_status(raw: DataFrame, status: str = "status") -> DataFrame:
 
 
 def run_outcomes(
-    samples: DataFrame, timeout_s: int = RUN_TIMEOUT_SECONDS, shares: int = SHARES
+    samples: DataFrame, timeout_s: int = RUN_TIMEOUT_SECONDS, shares: int | None = None
 ) -> DataFrame:
     """(run_id, outcome, attempt, decided_at) of every run.
 

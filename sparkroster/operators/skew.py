@@ -14,7 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHARES = 64
+LEAST_SHARES, MOST_SHARES = 64, 10_000
+
+
+def default_shares(df: DataFrame) -> int:
+    """As many shares of the rows as there are shuffle partitions, within bounds."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(partitions, LEAST_SHARES), MOST_SHARES)
 
 
 def key_counts(rows: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -24,14 +30,16 @@ def key_counts(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n"))
 
 
-def hot_keys(rows: DataFrame, key: Sequence[str], shares: int = SHARES) -> DataFrame:
-    """Keys that hold more than one ``shares``-th of all rows.
+def hot_keys(rows: DataFrame, key: Sequence[str], shares: int) -> DataFrame:
+    """Keys with more than one ``shares``-th of all rows, and ``_parts`` to spread each over.
 
-    There are fewer than ``shares`` of them whatever the data, so the result may be
-    broadcast.
+    There are fewer than ``shares`` such keys whatever the data, so the result may be
+    broadcast. A key gets a part per share it holds, so all parts together are fewer than
+    twice ``shares``.
     """
     total = rows.agg(F.count("*")).scalar()
-    return key_counts(rows, key).where(F.col("n") * F.lit(shares) > total).select(*key)
+    parts = F.ceil(F.col("n") * F.lit(shares) / total).cast("int")
+    return key_counts(rows, key).select(*key, parts.alias("_parts")).where(F.col("_parts") > 1)
 
 
 def _row_hash(rows: DataFrame, key: Sequence[str]) -> Column:
@@ -50,7 +58,7 @@ def lookup(
     key: str | Sequence[str],
     how: str = "left",
     counted: DataFrame | None = None,
-    shares: int = SHARES,
+    shares: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``right``, which has one row per key (left, inner, semi or anti).
 
@@ -58,22 +66,22 @@ def lookup(
     has the same keys and is cheaper to read.
     """
     key = [key] if isinstance(key, str) else list(key)
-    hot = hot_keys(rows if counted is None else counted, key, shares)
-    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    shares = shares or default_shares(rows)
+    marks = F.broadcast(hot_keys(rows if counted is None else counted, key, shares))
     no_key = F.lit(False)
     for k in key:
         no_key = no_key | F.col(k).isNull()
-    spread = F.coalesce("_hot", F.lit(False)) | no_key
-    part = F.pmod(_row_hash(rows, key), F.lit(shares)).cast("int")
+    parts = F.when(no_key, shares).otherwise(F.col("_parts"))
+    spread = F.pmod(_row_hash(rows, key), parts).cast("int")
     left = (
         rows.join(marks, key, "left")
-        .withColumn("_part", F.when(spread, part).otherwise(0))
-        .drop("_hot")
+        .withColumn("_part", F.coalesce(spread, F.lit(0)))
+        .drop("_parts")
     )
-    last = F.when(F.col("_hot"), shares - 1).otherwise(0)
+    last = F.coalesce("_parts", F.lit(1)) - 1
     copies = (
         right.join(marks, key, "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), last)))
-        .drop("_hot")
+        .drop("_parts")
     )
     return left.join(copies, [*key, "_part"], how).drop("_part")

@@ -4,6 +4,8 @@ from sparkroster.plans.saved import (
     bind_params,
     check_definitions,
     config_values,
+    definitions_as_entries,
+    definitions_from_entries,
     resolve_params,
     run_and_write,
     run_saved_query,
@@ -13,6 +15,8 @@ __all__ = [
     "bind_params",
     "check_definitions",
     "config_values",
+    "definitions_as_entries",
+    "definitions_from_entries",
     "resolve_params",
     "run_and_write",
     "run_saved_query",

@@ -15,13 +15,38 @@ from pyspark.sql import types as T
 from sparkroster.constants import (
     DEFAULT_NAMESPACE,
     ENGINE_DEFAULT,
+    KEY_CODE,
+    KEY_DESCRIPTION,
+    KEY_ENGINE,
+    KEY_PARAMS_SPEC,
+    KEY_TYPE,
+    ROLE_LABEL,
+    ROLE_SCRIPT,
+    SCRIPT_PREFIX,
     TYPE_PYSPARK,
     TYPE_SQL,
 )
-from sparkroster.functions import merge_params, or_empty, params_by_prefix
-from sparkroster.schemas import empty_map
+from sparkroster.functions import (
+    entry_name,
+    merge_params,
+    or_empty,
+    params_by_prefix,
+    stringify_map,
+    strip_first,
+)
+from sparkroster.operators.select import label_select
+from sparkroster.schemas import SAVED_QUERIES, empty_map
 from sparkroster.sources.parquet import DEFAULT_SUB_DIR, verify_written, write_parquet
 
+# Definition columns and the data keys they are stored under.
+_STORED = {
+    "type": KEY_TYPE,
+    "engine": KEY_ENGINE,
+    "code": KEY_CODE,
+    "params_spec": KEY_PARAMS_SPEC,
+    "description": KEY_DESCRIPTION,
+}
+
 PySparkQuery = Callable[[SparkSession, dict], DataFrame]
 
 
@@ -52,6 +77,32 @@ def check_definitions(defs: DataFrame, files: DataFrame | None = None) -> DataFr
     )
 
 
+def definitions_as_entries(
+    defs: DataFrame, prefix: str = SCRIPT_PREFIX, role_label: str = ROLE_LABEL
+) -> DataFrame:
+    """Definitions in their stored form: one entry each, with a role label and a data map."""
+    data = stringify_map({key: F.col(c) for c, key in _STORED.items()})
+    return defs.select(
+        F.lit("script").alias("kind"),
+        "namespace",
+        entry_name("name", prefix).alias("name"),
+        F.create_map(F.lit(role_label), F.lit(ROLE_SCRIPT)).alias("labels"),
+        data.alias("data"),
+    )
+
+
+def definitions_from_entries(
+    entries: DataFrame, prefix: str = SCRIPT_PREFIX, role_label: str = ROLE_LABEL
+) -> DataFrame:
+    """Definitions of the stored scripts among the entries."""
+    scripts = label_select(entries, f"{role_label}={ROLE_SCRIPT}", columns={})
+    columns = {c: F.col("data")[key] for c, key in _STORED.items()}
+    columns["name"] = strip_first("name", prefix)
+    columns["namespace"] = F.col("namespace")
+    columns["code_path"] = F.lit(None).cast("string")
+    return scripts.select(*[columns[c].alias(c) for c in SAVED_QUERIES.names])
+
+
 def _fields(spec: str) -> list[T.StructField]:
     return T.StructType.fromDDL(spec).fields
 

@@ -119,3 +119,8 @@ def labels_from_columns(columns: dict[str, str] = LABEL_COLUMNS) -> Column:
     keys = F.array(*[F.lit(key) for key in columns.values()])
     values = F.array(*[F.col(flat).cast("string") for flat in columns])
     return F.map_filter(F.map_from_arrays(keys, values), lambda _, v: v.isNotNull())
+
+
+def to_inventory(raw: DataFrame, columns: dict[str, str] = LABEL_COLUMNS) -> DataFrame:
+    """An inventory from raw rows (namespace, labels, annotations, phase, created_at)."""
+    return flatten_labels(raw, columns).select(*INVENTORY.names)

@@ -104,8 +104,11 @@ def test_hot_keys_are_few_and_exact(spark):
     rows = spark.range(10_000).select(
         F.when(F.col("id") < 3_400, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id"
     )
-    hot = hot_keys(rows, ["k"], shares=16)
-    assert [r.k for r in hot.collect()] == ["hot"]
+    assert [tuple(r) for r in hot_keys(rows, ["k"], 16).collect()] == [("hot", 6)]
+    # A finer share finds more keys; their parts stay below twice the shares.
+    two = rows.withColumn("k", F.when(F.col("id") >= 9_000, "warm").otherwise(F.col("k")))
+    assert {tuple(r) for r in hot_keys(two, ["k"], 64).collect()} == {("hot", 22), ("warm", 7)}
+    assert hot_keys(two, ["k"], 2).count() == 0
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
