@@ -14,10 +14,13 @@ from sparkroster.operators.change import Changed
 from sparkroster.operators.resolve import (
     EXISTS,
     OK,
+    judge_parents,
+    name_index,
     name_owner,
-    parents_with_repo,
-    resolve_names,
+    project_repos,
+    resolution_status,
 )
+from sparkroster.operators.skew import lookup
 from sparkroster.schemas import labels_from_columns
 
 
@@ -87,11 +90,18 @@ def create_environments(
         "request_id",
         *[F.lower(c).alias(c) for c in ("project_name", "environment", "depends_on")],
     )
-    named = resolve_names(asked, inventory).withColumnRenamed("status", "_resolved")
-    checked = parents_with_repo(named, inventory, "environment", "depends_on", repo_url)
-    judged = checked.withColumn(
+    only_id = resolution_status(F.col("_id_min"), F.col("_id_max")) == OK
+    projects = (
+        name_index(inventory)
+        .select(
+            F.col("_name").alias("project_name"), F.when(only_id, F.col("_id_min")).alias("project_id")
+        )
+        .join(project_repos(inventory, repo_url), "project_id", "left")
+    )
+    named = lookup(asked, projects, "project_name")
+    judged = judge_parents(named, inventory, "environment", "depends_on").withColumn(
         "status",
-        F.when(F.col("_resolved") != OK, "project_not_found").otherwise(F.col("status")),
+        F.when(F.col("project_id").isNull(), "project_not_found").otherwise(F.col("status")),
     )
     made = (
         judged.where(F.col("status") == OK)

@@ -136,23 +136,31 @@ def check_parents(
 
     Adds (namespace, status).
     """
-    checked = parents_with_repo(requests, inventory, environment, parent, repo_url)
-    return checked.drop("_repo")
+    known = lookup(requests, project_repos(inventory, repo_url), "project_id")
+    return judge_parents(known, inventory, environment, parent).select(
+        *requests.columns, "namespace", "status"
+    )
 
 
-def parents_with_repo(
-    requests: DataFrame,
-    inventory: DataFrame,
-    environment: str,
-    parent: str,
-    repo_url: str,
-) -> DataFrame:
-    """:func:`check_parents` with the repository (name, url) of the project as ``_repo``.
+def project_repos(inventory: DataFrame, repo_url: str = REPO_URL_ANNOTATION) -> DataFrame:
+    """(project_id, _repo): the repository (name, url) of the first namespace by name."""
+    repo = F.struct(
+        F.nullif(F.col("repo_name"), F.lit("")).alias("name"),
+        F.nullif(F.col("annotations")[repo_url], F.lit("")).alias("url"),
+    )
+    return (
+        inventory.where(F.col("project_id").isNotNull())
+        .groupBy("project_id")
+        .agg(F.min_by(repo, "namespace").alias("_repo"))
+    )
 
-    The repository is the one of the project's first namespace by name.
-    """
+
+def judge_parents(
+    requests: DataFrame, inventory: DataFrame, environment: str, parent: str
+) -> DataFrame:
+    """Requests that have their project's ``_repo``, with (namespace, status)."""
     env, par = F.lower(F.col(environment)), F.lower(F.col(parent))
-    r = requests.withColumns(
+    named = requests.withColumns(
         {
             "_new_ns": physical_name("project_id", env),
             "_par_ns": F.when(
@@ -160,24 +168,9 @@ def parents_with_repo(
             ),
         }
     )
-    repo = (
-        inventory.where(F.col("project_id").isNotNull())
-        .groupBy("project_id")
-        .agg(
-            F.min_by(
-                F.struct(
-                    F.nullif(F.col("repo_name"), F.lit("")).alias("name"),
-                    F.nullif(F.col("annotations")[repo_url], F.lit("")).alias("url"),
-                ),
-                "namespace",
-            ).alias("_repo")
-        )
-    )
     taken = inventory.select(F.col("namespace").alias("_new_ns"), F.lit(True).alias("_taken"))
-    joined = (
-        lookup(r, repo, "project_id")
-        .join(taken, "_new_ns", "left")
-        .join(_labels_at(inventory, "par"), "_par_ns", "left")
+    joined = named.join(taken, "_new_ns", "left").join(
+        _labels_at(inventory, "par"), "_par_ns", "left"
     )
     same = F.col("_par_id").eqNullSafe(F.col("project_id")) & F.col("_par_env").eqNullSafe(par)
     status = (
@@ -192,7 +185,6 @@ def parents_with_repo(
         *[F.col(c) for c in requests.columns],
         F.col("_new_ns").alias("namespace"),
         status.alias("status"),
-        "_repo",
     )
 
 
