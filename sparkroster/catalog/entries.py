@@ -42,7 +42,10 @@ _SCRIPTS = """s AS (
       FROM part)"""
 
 
-@query("SELECT 'script-' || p_partkey AS name, p_size > 5 AS typed FROM part WHERE lower(p_type) = 'economy' AND p_size <> 3")
+@query(
+    """SELECT 'script-' || p_partkey AS name, p_size > 5 AS typed FROM part
+    WHERE lower(p_type) = 'economy' AND p_size <> 3"""
+)
 def scope_filter(spark, sf_dir):
     scoped = op.scope_filter(_scripts(spark, sf_dir), "economy")
     return scoped.where(F.col("data").isNotNull()).select(

@@ -158,7 +158,8 @@ def test_params(spark):
         ["--b", "1", "--a", "x y"],
         [],
     )
-    env, shared = one(spark, fn.params_as_env(m(a="1", A="2", b="3")), fn.env_collisions(m(a="1", A="2", b="3")))
+    given = m(a="1", A="2", b="3")
+    env, shared = one(spark, fn.params_as_env(given), fn.env_collisions(given))
     assert [tuple(e) for e in env] == [("PARAM_A", "1"), ("PARAM_A", "2"), ("PARAM_B", "3")]
     assert shared == ["PARAM_A"]
 

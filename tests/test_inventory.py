@@ -97,7 +97,11 @@ def test_resolution_with_empty_and_missing_ids(spark):
 
 def test_few_requests_narrow_the_inventory_first(spark):
     inv = inventory(
-        spark, ns("p1", "one", "dev"), ns("p2", "two", "dev"), ns("p3", "two", "dev"), ns("p4", "x", "dev")
+        spark,
+        ns("p1", "one", "dev"),
+        ns("p2", "two", "dev"),
+        ns("p3", "two", "dev"),
+        ns("p4", "x", "dev"),
     )
     asked = requests(
         spark,
@@ -217,7 +221,14 @@ def test_inconsistent_names(spark):
 
 def test_tally(spark):
     df = spark.createDataFrame(
-        [(1, "a", True), (1, "b", True), (2, "c", True), (2, "e", False), (2, "d", None), (3, "f", False)],
+        [
+            (1, "a", True),
+            (1, "b", True),
+            (2, "c", True),
+            (2, "e", False),
+            (2, "d", None),
+            (3, "f", False),
+        ],
         "request_id long, namespace string, applied boolean",
     )
     got = {r.request_id: tuple(r)[1:] for r in op.apply_tally(df, "request_id").collect()}

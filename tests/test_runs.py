@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from sparkroster import operators as op
 from sparkroster.schemas import RUN_LOGS, RUN_SAMPLES

@@ -71,7 +71,8 @@ def test_projects_and_environments(spark):
     assert got["qa"].depends_on == "dev" and got["qa"].labels["depends-on"] == "dev"
     assert got["staging"].depends_on is None and "depends-on" not in got["staging"].labels
     assert got["qa"].repo_name == "project-miprimeraapp"
-    summary = [(r.project_display_name, r.environment_names) for r in op.project_summary(grown.table).collect()]
+    report = op.project_summary(grown.table).collect()
+    summary = [(r.project_display_name, r.environment_names) for r in report]
     assert summary == [("miprimeraapp", ["dev", "qa", "staging"]), ("otroproyecto", ["dev"])]
 
 
