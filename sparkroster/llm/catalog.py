@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship_package, table
+from .decontaminate import contamination
+from .simhash_dedup import simhash_groups
 from .token_counts import token_counts
 from .token_output import token_files
 
@@ -42,3 +44,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_output")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op8_simhash_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op9_decontaminate")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
