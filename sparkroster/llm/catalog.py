@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship_package, table
 from .decontaminate import contamination
+from .quality import quality
+from .sentencepiece_codec import round_trips
 from .simhash_dedup import simhash_groups
 from .token_counts import token_counts
 from .token_output import token_files
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,3 +57,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_decontaminate")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,3 +103,37 @@ def fold_hash(*columns: str | Column) -> Column:
 def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves `remainder`; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+MULTIPLIER = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd multiplier and of its inverse, modulo 2^64."""
+    up, down = (np.full(size, m, np.uint64) for m in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of a mask."""
+    edge = np.flatnonzero(np.diff(np.r_[False, mask, False].view(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each stretch of bytes; equal stretches have equal ones."""
+    up, down = _powers(max(1 << 22, 1 << len(data).bit_length()))
+    sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)]
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, max_rows: int) -> DataFrame:
+    """`y, text` of up to `max_rows` labelled rows that `train` (a condition on doc_id) admits, those with the
+    smallest hashes of the id. Null labels, ids and texts stay out; of repeated labels the larger counts. The
+    chosen ids are sent to every task: there are `max_rows` of them at most."""
+    chosen = labels.where(train & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    return rows.select(F.col("y").cast("int").alias("y"), "text")

@@ -4,7 +4,6 @@ every test item; occurrences are located by sampled suffix positions and merged
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,27 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ragged, text_bytes, text_chunks
+from .common import ragged, span_hashes, spans_of, text_bytes, text_chunks
 
 SAMPLE_EVERY = 8
 BLOCK_BYTES = 4 << 20
 SHARD_SYMBOLS = 1 << 19
-MULTIPLIER = 0x9E3779B97F4A7C15
 
 _byte = np.arange(256)
 IS_WORD = ((_byte >= 0x30) & (_byte <= 0x39)) | ((_byte >= 0x61) & (_byte <= 0x7A)) | (_byte >= 0x80)
 LOWER = np.where((_byte >= 0x41) & (_byte <= 0x5A), _byte + 32, _byte).astype(np.uint8)
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier and of its inverse, modulo 2^64."""
-    inverse = pow(MULTIPLIER, -1, 1 << 64)
-    up, down = (np.full(size, m, np.uint64) for m in (MULTIPLIER, inverse))
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
 class Words:
     """The words of some texts: where each stands in the lower-cased bytes, a hash of each, and its text."""
 
@@ -43,16 +32,12 @@ class Words:
         lengths = np.diff(offsets)
         spread[ragged(offsets[:-1] + np.arange(len(texts)), lengths)] = flat
         self.bytes = LOWER[spread]
-        edge = np.flatnonzero(np.diff(np.r_[False, IS_WORD[self.bytes], False].view(np.int8)))
-        self.starts, self.ends = edge[::2], edge[1::2]
+        self.starts, self.ends = spans_of(IS_WORD[self.bytes])
         bounds = offsets[1:] + np.arange(1, len(texts) + 1)
         self.per_text = np.diff(np.r_[0, np.searchsorted(self.starts, bounds)])
         self.text = np.repeat(np.arange(len(texts)), self.per_text)
         self.text_starts = offsets[:-1] + np.arange(len(texts))
-        size = max(1 << 22, 1 << int(len(self.bytes)).bit_length())
-        up, down = _powers(size)
-        sums = np.r_[np.uint64(0), np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * up[: len(self.bytes)], dtype=np.uint64)]
-        self.hashes = (sums[self.ends] - sums[self.starts]) * down[self.starts]
+        self.hashes = span_hashes(self.bytes, self.starts, self.ends)
 
     def word(self, i: int) -> bytes:
         return self.bytes[self.starts[i] : self.ends[i]].tobytes()
@@ -351,6 +336,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
     )
 
 
+def _free_name(docs: DataFrame) -> str:
+    return "_found" + "_" * max(map(len, docs.columns), default=0)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with all their columns and their whole texts."""
+    name = _free_name(docs)
+    found = with_passages(docs, benchmark, name, window=window)
+    return found.where(~is_contaminated(F.col(name)["n_words"], F.size(F.col(name)["hits"]))).select(*docs.columns)
+
+
 def without_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """`docs` with the hit spans cut out of `text`; texts without hits stay as they are."""
 
@@ -367,7 +363,6 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13) ->
             out.append(text)
         return pa.array(out, pa.string())
 
-    columns = docs.columns
-    name = "_found" + "_" * max(map(len, columns), default=0)
+    name = _free_name(docs)
     found = with_passages(docs, benchmark, name, window=window)
-    return found.withColumn("text", cut(F.col("text"), F.col(name)["spans"])).select(*columns)
+    return found.withColumn("text", cut(F.col("text"), F.col(name)["spans"])).select(*docs.columns)

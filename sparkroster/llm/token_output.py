@@ -115,7 +115,7 @@ def token_ids(text: Column, path: str, end_id: int | None) -> Column:
             parts = [encoder.encode(chunk, end_id) for chunk in text_chunks(texts, ENCODED_BYTES)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    return encoded(F.coalesce(text, F.lit("")))
+    return encoded.asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 @F.arrow_udf(T.LongType())
