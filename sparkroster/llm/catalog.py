@@ -7,14 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import formatted_conversations
 from .common import ship_package, table
 from .decontaminate import contamination
+from .embedding_dedup import near_vectors
 from .quality import quality
 from .sentencepiece_codec import round_trips
 from .simhash_dedup import simhash_groups
 from .token_counts import token_counts
 from .token_output import token_files
 from .toxicity import toxicity
+from .url_filter import judged_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +75,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_embedding_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_chat_format")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatted_conversations(table(spark, sf_dir, "conversations"))
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op7_url_filter")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_pages(table(spark, sf_dir, "pages"), URL_RULES)
