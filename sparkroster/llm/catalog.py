@@ -57,7 +57,39 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-@query("op9_decontaminate")
+PASSAGES_SQL = r"""
+WITH lowered AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), sized AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, w, least(13, len(w)) AS size FROM items WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT item, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM sized)
+), places AS (
+  SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM lowered, (SELECT DISTINCT size FROM sized) WHERE len(w) >= size)
+), hits AS (
+  SELECT DISTINCT r, i, size, item FROM places JOIN windows USING (size, phrase)
+), counts AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hits) GROUP BY r
+), found AS (
+  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM lowered LEFT JOIN counts USING (r) LEFT JOIN found USING (r)
+"""
+
+
+@query("op9_decontaminate", PASSAGES_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,7 +109,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op2_embedding_dedup")
+VECTORS_SQL = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([x for x in embedding if x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a)
+JOIN (SELECT vec_id, count(links.b) AS n_links FROM embeddings LEFT JOIN links ON vec_id = a GROUP BY vec_id) USING (vec_id)
+"""
+
+
+@query("op2_embedding_dedup", VECTORS_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
