@@ -136,13 +136,21 @@ def _shallow_tree(gradient: np.ndarray, hessian: np.ndarray, penalty: float) ->
 
 
 def _quadrants(gradient: np.ndarray, hessian: np.ndarray, penalty: float) -> np.ndarray:
-    """A value for each cell of two features: the best cut of either, alone, and their four quadrants."""
-    cuts = [1 + int(np.argmax(_gains(gradient.sum(axis=a), hessian.sum(axis=a), penalty))) if gradient.shape[1 - a] > 1 else gradient.shape[1 - a] for a in (1, 0)]
-    out = np.zeros_like(gradient)
-    for rows in (slice(0, cuts[0]), slice(cuts[0], None)):
-        for columns in (slice(0, cuts[1]), slice(cuts[1], None)):
-            out[rows, columns] = _leaf(gradient[rows, columns].sum(), hessian[rows, columns].sum(), penalty)
-    return out
+    """A value for each cell of two features: the four quadrants of the pair of cuts with the best gain."""
+    rows, columns = gradient.shape
+    if rows < 2 or columns < 2:
+        return np.zeros_like(gradient)
+
+    def corners(values: np.ndarray) -> list[np.ndarray]:
+        sums = values.cumsum(axis=0).cumsum(axis=1)
+        low, up, left, total = sums[:-1, :-1], sums[:-1, -1:], sums[-1:, :-1], sums[-1, -1]
+        return [low, up - low, left - low, total - up - left + low]
+
+    parts = [(g, h + penalty) for g, h in zip(corners(gradient), corners(hessian), strict=True)]
+    best = np.unravel_index(np.argmax(sum(g**2 / h for g, h in parts)), (rows - 1, columns - 1))
+    values = [g[best] / h[best] for g, h in parts]
+    below = np.arange(rows)[:, None] <= best[0], np.arange(columns)[None, :] <= best[1]
+    return np.where(below[0], np.where(below[1], values[0], values[1]), np.where(below[1], values[2], values[3]))
 
 
 def fit(x: np.ndarray, y: np.ndarray, n_bins: int = 48, rounds: int = 150, n_pairs: int = 6, pair_rounds: int = 50, rate: float = 0.1, penalty: float = 4.0) -> AdditiveModel:
