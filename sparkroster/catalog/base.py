@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkroster import session
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -57,3 +60,10 @@ def iso_sql(ts: str) -> str:
         f"THEN strftime({ts}, '%Y-%m-%dT%H:%M:%S') "
         f"ELSE strftime({ts}, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00'"
     )
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; below one of this machine where none is set, as in tests."""
+    if spark.conf.get(session.CHECKPOINT_DIR, None):
+        return session.work_dir(spark, name)
+    return tempfile.mkdtemp(prefix=f"{name}-") + "/new"

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkroster import operators as op
-from sparkroster.catalog.base import iso_sql, query, table
+from sparkroster.catalog.base import iso_sql, query, table, work_dir
 from sparkroster.functions import iso_time
-from sparkroster.session import work_dir
 from sparkroster.streaming import run_outcomes_stream, write_outcomes
 
 TIMEOUT = 12 * 3600

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkroster import plans, sources
-from sparkroster.catalog.base import query, string_map, table
+from sparkroster.catalog.base import query, string_map, table, work_dir
 from sparkroster.functions import encode
 from sparkroster.schemas import SAVED_QUERIES
-from sparkroster.session import work_dir
 
 
 @query(
@@ -210,6 +209,26 @@ def run_and_write(spark, sf_dir):
     return done.drop("path")
 
 
+@query(
+    """SELECT 2::BIGINT AS n_rows, true AS schema_ok, true AS found
+    FROM lineitem WHERE l_quantity >= 10 HAVING count(DISTINCT l_returnflag) >= 2"""
+)
+def run_and_write_again(spark, sf_dir):
+    """Two writes to one place; the report is on the second, smaller one."""
+    call, base = _revenue_call(spark, sf_dir), work_dir(spark, "saved")
+    plans.run_and_write(spark, _definitions(spark), "revenue", base, **call)
+
+    def two_flags(session: SparkSession, params: dict) -> DataFrame:
+        lines = table(session, sf_dir, "lineitem").where(F.col("l_quantity") >= 10)
+        flags = lines.groupBy("l_returnflag").agg(F.count("*").alias("n_lines"))
+        return flags.orderBy("l_returnflag").limit(2)
+
+    done = plans.run_and_write(
+        spark, _definitions(spark), "spend", base, functions={"spend": two_flags}, inline={"status": "P"}
+    )
+    return done.drop("path")
+
+
 @query(
     """SELECT c_custkey, 'ArgUser' || (c_custkey + 1) AS user_name_arg,
            (301 + c_custkey)::INTEGER AS user_id_arg, c_custkey::DOUBLE * 1.23::DOUBLE AS value_arg
@@ -252,3 +271,23 @@ def files_as_rows(spark, sf_dir):
     files = sources.files_as_rows(spark, _text_files(spark, sf_dir))
     text = F.unbase64("value").cast("string")
     return files.select(F.explode(F.split(F.rtrim(text, F.lit("\n")), "\n")).alias("line"))
+
+
+@query(
+    """SELECT lower(p_brand) AS name, p_partkey || ',' || p_name || ',' || p_brand AS line FROM part"""
+)
+def files_as_entries(spark, sf_dir):
+    """The parts of each brand in a folder of its own; each folder is an entry."""
+    path = work_dir(spark, "brands")
+    lines = table(spark, sf_dir, "part").select(
+        F.lower("p_brand").alias("brand"),
+        F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", "p_brand").alias("value"),
+    )
+    lines.write.partitionBy("brand").text(path)
+    found = sources.files_as_entries(spark, f"{path}/*/*.txt", "brand", "default")
+    files = found.select("name", F.explode("data").alias("file", "value"))
+    text = F.rtrim(F.unbase64("value").cast("string"), F.lit("\n"))
+    return files.select(
+        F.url_decode(F.replace("name", F.lit("brand="), F.lit(""))).alias("name"),
+        F.explode(F.split(text, "\n")).alias("line"),
+    )

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from sparkroster.functions import comparable, drop_nulls, merge_patch, or_empty
 from sparkroster.operators.skew import lookup
-from sparkroster.schemas import ENTRY_KEY, flatten_labels
+from sparkroster.schemas import ENTRY_KEY, LABEL_COLUMNS
 
 CONFLICT = "conflict"
 SKIPPED = "skipped"
+INVALID = "invalid"
 
 
 class Changed(NamedTuple):
@@ -34,6 +35,22 @@ def by_lower_name(changes: DataFrame, key: Sequence[str]) -> DataFrame:
     return changes.withColumn("name", F.lower("name")) if "name" in key else changes
 
 
+def whole_key(key: Sequence[str]) -> Column:
+    """No part of the key is null."""
+    whole = F.lit(True)
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    return whole
+
+
+def sort_out(changes: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Changes with a whole key and a ``seq``, and the result rows of all others: ``invalid``."""
+    whole = whole_key(key) & F.col("seq").isNotNull()
+    return changes.where(whole), changes.where(~whole).select(
+        *key, "seq", F.lit(INVALID).alias("status")
+    )
+
+
 def first_change(changes: DataFrame, key: Sequence[str]) -> DataFrame:
     """The change with the lowest ``seq`` of every key, reduced before the shuffle."""
     rest = [c for c in changes.columns if c not in key]
@@ -72,11 +89,11 @@ def create_if_absent(
     base: DataFrame, changes: DataFrame, key: Sequence[str] = ENTRY_KEY
 ) -> Changed:
     """Insert rows whose key is new. A taken key, also by an earlier change, is a conflict."""
-    changes = by_lower_name(changes, key)
+    changes, invalid = sort_out(by_lower_name(changes, key), key)
     new = first_change(changes, key).join(base.select(*key), list(key), "left_anti")
     table = base.unionByName(_fill(new.withColumn("data", drop_nulls(or_empty("data"))), base))
     status = F.when(F.col("_present") | ~F.col("_first"), CONFLICT).otherwise("created")
-    return Changed(table, _results(base, changes, key, status))
+    return Changed(table, _results(base, changes, key, status).unionByName(invalid))
 
 
 def _with_change(base: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -90,7 +107,7 @@ def replace_existing(
     base: DataFrame, changes: DataFrame, key: Sequence[str] = ENTRY_KEY
 ) -> Changed:
     """Replace the whole data of rows that exist; an absent key is missing."""
-    changes = by_lower_name(changes, key)
+    changes, invalid = sort_out(by_lower_name(changes, key), key)
     table = (
         _with_change(base, changes, key)
         .withColumn(
@@ -102,14 +119,14 @@ def replace_existing(
     status = (
         F.when(~F.col("_present"), "missing").when(~F.col("_first"), SKIPPED).otherwise("replaced")
     )
-    return Changed(table, _results(base, changes, key, status))
+    return Changed(table, _results(base, changes, key, status).unionByName(invalid))
 
 
 def merge_patch_existing(
     base: DataFrame, changes: DataFrame, key: Sequence[str] = ENTRY_KEY
 ) -> Changed:
     """Merge a patch into rows that exist: values set, nulls remove, other keys stay."""
-    changes = by_lower_name(changes, key)
+    changes, invalid = sort_out(by_lower_name(changes, key), key)
     table = (
         _with_change(base, changes, key)
         .withColumn(
@@ -126,29 +143,38 @@ def merge_patch_existing(
         .when(~F.col("_first"), SKIPPED)
         .otherwise("patched")
     )
-    return Changed(table, _results(base, changes, key, status))
+    return Changed(table, _results(base, changes, key, status).unionByName(invalid))
 
 
 def upsert_labels(inventory: DataFrame, changes: DataFrame, insert: bool = True) -> Changed:
     """Insert namespaces, or merge labels and annotations into those that exist.
 
-    A null map leaves its side alone; a null label value removes the label. The flat label
-    columns follow the label map. Without ``insert`` an absent namespace is missing.
+    A null map leaves its side alone, and rows that no change names stay as they are; a null
+    label value removes the label. Where labels are patched, the flat label columns follow the
+    label map. Inserted rows have both maps. Without ``insert`` an absent namespace is missing.
     """
     key = ("namespace",)
+    changes, invalid = sort_out(changes, key)
     new = first_change(changes, key).select(
         "namespace",
         F.col("labels").alias("_labels"),
         F.col("annotations").alias("_annotations"),
     )
     how = "full_outer" if insert else "left"
-    merged = inventory.join(new, list(key), how).withColumns(
-        {
-            "labels": merge_patch("labels", "_labels"),
-            "annotations": merge_patch("annotations", "_annotations"),
-        }
-    )
-    table = flatten_labels(merged).select(*inventory.columns)
+    joined = inventory.withColumn("_old", F.lit(True)).join(new, list(key), how)
+    patched = F.col("_labels").isNotNull()
+
+    def side(name: str) -> Column:
+        kept = F.when(F.col("_old"), F.col(name)).otherwise(or_empty(name))
+        return F.when(F.col(f"_{name}").isNotNull(), merge_patch(name, f"_{name}")).otherwise(kept)
+
+    merged = joined.withColumns({"labels": side("labels"), "annotations": side("annotations")})
+    flat = {
+        c: F.when(patched, F.col("labels")[label]).otherwise(F.col(c))
+        for c, label in LABEL_COLUMNS.items()
+        if c in inventory.columns
+    }
+    table = merged.withColumns(flat).select(*inventory.columns)
     nothing = F.col("labels").isNull() & F.col("annotations").isNull()
     status = (
         F.when(F.col("_present") & nothing, "noop")
@@ -157,7 +183,7 @@ def upsert_labels(inventory: DataFrame, changes: DataFrame, insert: bool = True)
         .when(F.col("_present"), "patched")
         .otherwise("created")
     )
-    return Changed(table, _results(inventory, changes, key, status))
+    return Changed(table, _results(inventory, changes, key, status).unionByName(invalid))
 
 
 def delete_if_present(
@@ -165,13 +191,17 @@ def delete_if_present(
 ) -> Changed:
     """Remove rows by key; an absent key is a success of its own kind.
 
-    One result row per distinct key.
+    One result row per distinct key; a key with a null part is invalid.
     """
     wanted = by_lower_name(keys, key).select(*key).distinct()
     table = base.join(wanted, list(key), "left_anti")
     present = base.select(*key, F.lit(True).alias("_present"))
     results = wanted.join(present, list(key), "left").select(
-        *key, F.when(F.col("_present"), "deleted").otherwise("absent").alias("status")
+        *key,
+        F.when(~whole_key(key), INVALID)
+        .when(F.col("_present"), "deleted")
+        .otherwise("absent")
+        .alias("status"),
     )
     return Changed(table, results)
 

@@ -5,9 +5,9 @@ is set by the last create, upsert or delete before it. What a field holds in the
 its last applied write, unless a later create, replace or delete wiped the row. Both are
 reductions, so the log of one key never has to meet in one task:
 
-* the log is cut into pieces of ``seq`` values; a window inside a piece finds the last
-  existence-setting change, and a window over the few piece summaries of a key carries it
-  from piece to piece. A group of the first window has at most ``piece`` rows;
+* the log of a key that holds more than its share of all changes is cut at quantiles of its
+  ``seq`` values, dense or not; a window inside a piece finds the last existence-setting
+  change, and a window over the few piece summaries of a key carries it from piece to piece;
 * everything else is an aggregate that is combined before its shuffle.
 """
 
@@ -19,30 +19,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkroster.functions import drop_nulls, merge_patch, or_empty
-from sparkroster.operators.change import Changed, by_lower_name
+from sparkroster.operators.change import Changed, by_lower_name, whole_key
+from sparkroster.operators.skew import default_shares, hot_keys
 from sparkroster.schemas import ENTRY_KEY
 
-PIECE = 1 << 18
+MOST_PIECES = 1000
 
 
 def apply_changes(
     base: DataFrame,
     changes: DataFrame,
     key: Sequence[str] = ENTRY_KEY,
-    piece: int = PIECE,
+    shares: int | None = None,
 ) -> Changed:
-    """The table after the whole log, and per key (applied, rejected, noop, present).
+    """The table after the whole log, and per key (applied, rejected, noop, invalid, present).
 
     ``seq`` is unique within a key. A create of a present key and a replace or patch of an
-    absent one are rejected; a delete of an absent key and an empty patch are noop.
+    absent one are rejected; a delete of an absent key and an empty patch are noop. Changes
+    with a null ``seq`` or key part are invalid: they change nothing and are counted, the
+    latter under the key as it is. A piece holds about one ``shares``-th of all changes (as
+    many shares as shuffle partitions by default), a thousandth of its key's at least.
     """
     key = list(key)
     sets_present = (
         F.when(F.col("op").isin("create", "upsert"), True).when(F.col("op") == "delete", False)
     )
-    log = by_lower_name(changes, key).select(*key, "seq", "op", "data").withColumns(
-        {"_piece": F.expr(f"seq div {int(piece)}"), "_sets": sets_present}
-    )
+    named = by_lower_name(changes, key).select(*key, "seq", "op", "data")
+    whole = whole_key(key) & F.col("seq").isNotNull()
+    invalid = named.where(~whole).groupBy(*key).agg(F.count("*").alias("_invalid"))
+    log = _in_pieces(named.where(whole), key, shares).withColumn("_sets", sets_present)
     before = (
         Window.partitionBy(*key, "_piece").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -120,12 +125,51 @@ def apply_changes(
     table = (
         folded.where(present).withColumns({"data": data, **rest}).select(*base.columns)
     )
-    results = per_key.join(in_base, key, "left").select(
-        *key, "applied", "rejected", "noop", present.alias("present")
+    same_keys = F.lit(True)
+    for k in key:
+        same_keys = same_keys & F.col(f"_p.{k}").eqNullSafe(F.col(f"_i.{k}"))
+    judged_keys = per_key.alias("_p").join(invalid.alias("_i"), same_keys, "full_outer")
+    results = (
+        judged_keys.select(
+            *[F.coalesce(f"_p.{k}", f"_i.{k}").alias(k) for k in key],
+            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("applied", "rejected", "noop")],
+            F.coalesce("_invalid", F.lit(0)).alias("invalid"),
+            "_after",
+        )
+        .join(in_base, key, "left")
+        .select(
+            *key, "applied", "rejected", "noop", "invalid", present.alias("present")
+        )
     )
     return Changed(table, results)
 
 
+def _in_pieces(log: DataFrame, key: list[str], shares: int | None) -> DataFrame:
+    """The log with ``_piece``: 0, or for a hot key how many of its cuts lie below ``seq``.
+
+    The hot keys and all their cuts are fewer than twice ``shares`` values, so they are sent to
+    every task.
+    """
+    shares = shares or default_shares(log)
+    marks = F.broadcast(hot_keys(log, key, shares))
+    grid = [i / MOST_PIECES for i in range(1, MOST_PIECES)]
+    spread = F.percentile_approx("seq", grid, 10 * MOST_PIECES)
+    quantiles = log.select(*key, "seq").join(marks, key).groupBy(*key, "_parts").agg(
+        spread.alias("_grid")
+    )
+    at = F.expr(
+        f"transform(sequence(1, least(_parts, {MOST_PIECES}) - 1), "
+        f"i -> element_at(_grid, cast(floor(i * {MOST_PIECES} / least(_parts, {MOST_PIECES})) AS int)))"
+    )
+    cuts = quantiles.select(*key, at.alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda cut: cut < F.col("seq")))
+    return (
+        log.join(F.broadcast(cuts), key, "left")
+        .withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(below))
+        .drop("_cuts")
+    )
+
+
 def _outcome():
     op, there = F.col("op"), F.col("_there")
     empty = F.size(or_empty("data")) == 0

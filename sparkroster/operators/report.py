@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from sparkroster.constants import INCONSISTENT_SUFFIX, NO_DISPLAY_NAME, NOT_AVAILABLE
 from sparkroster.functions import iso_time
 from sparkroster.operators.resolve import OK, resolve_names
+from sparkroster.operators.skew import lookup
 
 
 def _filled(c: str) -> Column:
     return F.nullif(F.col(c), F.lit(""))
 
 
-def project_summary(inventory: DataFrame, sort: bool = True) -> DataFrame:
+def project_summary(inventory: DataFrame, sort: bool = False) -> DataFrame:
     """One row per project id: display name, number of environments, their names.
 
     One shuffle: the sets are combined in the map tasks before it, so copies never leave
@@ -68,7 +69,7 @@ def project_environments(
     requests: DataFrame,
     inventory: DataFrame,
     name: str = "project_name",
-    sort: bool = True,
+    sort: bool = False,
 ) -> DataFrame:
     """One row per environment of every requested project; unresolved requests give none."""
     asked = (
@@ -86,7 +87,7 @@ def project_environments(
         "phase",
         "created_at",
     )
-    out = asked.join(rows, "project_id").select(
+    out = lookup(rows, asked, "project_id", "inner").select(
         *keep,
         "environment",
         "namespace",

@@ -1,7 +1,7 @@
 """Name resolution and integrity checks: many requests against one inventory.
 
 Every lookup joins the requests to something with one row per key, so no join here can
-multiply rows. Where that is an aggregate, :func:`~sparkroster.operators.skew.lookup`
+multiply rows, as long as the inventory has one row per namespace. Where that is an aggregate, :func:`~sparkroster.operators.skew.lookup`
 spreads a name or project that very many requests share; where both sides are plain
 tables, the adaptive skew join splits it.
 """
@@ -92,6 +92,14 @@ def name_owner(
     )
 
 
+def _spread_nulls(c: Column, rows: DataFrame) -> Column:
+    """A join key whose nulls become values that match nothing and do not meet in one task."""
+    nested = ("map", "struct", "array", "variant")
+    plain = [f.name for f in rows.schema.fields if f.dataType.typeName() not in nested]
+    apart = F.concat(F.lit(" "), (F.xxhash64(*plain) if plain else F.lit(0)).cast("string"))
+    return F.coalesce(c, apart)
+
+
 def resolve_environments(
     requests: DataFrame,
     inventory: DataFrame,
@@ -108,7 +116,8 @@ def resolve_environments(
         .when(F.col("_there").isNull(), "environment_not_found")
         .otherwise(OK)
     )
-    return named.join(known, "_ns", "left").select(
+    key = _spread_nulls(F.col("_ns"), requests)
+    return named.join(known.withColumnRenamed("_ns", "_at"), key == F.col("_at"), "left").select(
         *[F.col(c) for c in requests.columns],
         "project_id",
         F.when(F.col("_there"), F.col("_ns")).alias("namespace"),
@@ -170,7 +179,9 @@ def judge_parents(
     )
     taken = inventory.select(F.col("namespace").alias("_new_ns"), F.lit(True).alias("_taken"))
     joined = named.join(taken, "_new_ns", "left").join(
-        _labels_at(inventory, "par"), "_par_ns", "left"
+        _labels_at(inventory, "par").withColumnRenamed("_par_ns", "_par_at"),
+        _spread_nulls(F.col("_par_ns"), requests) == F.col("_par_at"),
+        "left",
     )
     same = F.col("_par_id").eqNullSafe(F.col("project_id")) & F.col("_par_env").eqNullSafe(par)
     status = (

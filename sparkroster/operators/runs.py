@@ -107,7 +107,7 @@ def tail_lines(
     outcomes: DataFrame,
     n_ok: int = TAIL_LINES,
     n_failed: int = TAIL_LINES_FAILED,
-    sort: bool = True,
+    sort: bool = False,
 ) -> DataFrame:
     """The last lines of the first container of each run's latest pod, oldest first.
 

@@ -56,7 +56,7 @@ def describe_entry(
     namespace: str | None = DEFAULT_NAMESPACE,
     name: str | None = None,
     prefix: str = "",
-    sort: bool = True,
+    sort: bool = False,
 ) -> DataFrame:
     """(namespace, name, attribute, value) rows of one entry, or of all entries.
 

@@ -14,13 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST_SHARES, MOST_SHARES = 64, 10_000
+LEAST_SHARES = 64
 
 
 def default_shares(df: DataFrame) -> int:
-    """As many shares of the rows as there are shuffle partitions, within bounds."""
+    """As many shares of the rows as there are shuffle partitions, and some at least."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(partitions, LEAST_SHARES), MOST_SHARES)
+    return max(partitions, LEAST_SHARES)
 
 
 def key_counts(rows: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -31,15 +31,17 @@ def key_counts(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def hot_keys(rows: DataFrame, key: Sequence[str], shares: int) -> DataFrame:
-    """Keys with more than one ``shares``-th of all rows, and ``_parts`` to spread each over.
+    """Keys with more than one ``shares``-th of the rows that have a key, and ``_parts`` to spread
+    each over. The rows are counted once: their total is the sum of the counts.
 
     There are fewer than ``shares`` such keys whatever the data, so the result may be
     broadcast. A key gets a part per share it holds, so all parts together are fewer than
     twice ``shares``.
     """
-    total = rows.agg(F.count("*")).scalar()
+    counts = key_counts(rows, key)
+    total = counts.agg(F.sum("n")).scalar()
     parts = F.ceil(F.col("n") * F.lit(shares) / total).cast("int")
-    return key_counts(rows, key).select(*key, parts.alias("_parts")).where(F.col("_parts") > 1)
+    return counts.select(*key, parts.alias("_parts")).where(F.col("_parts") > 1)
 
 
 def _row_hash(rows: DataFrame, key: Sequence[str]) -> Column:
@@ -60,7 +62,7 @@ def lookup(
     counted: DataFrame | None = None,
     shares: int | None = None,
 ) -> DataFrame:
-    """Join ``rows`` to ``right``, which has one row per key (left, inner, semi or anti).
+    """Join ``rows`` to ``right``, which has few rows per key (left, inner, semi or anti).
 
     Keys are counted in ``rows``, or in ``counted`` where a table from before earlier joins
     has the same keys and is cheaper to read.

@@ -36,7 +36,7 @@ from sparkroster.functions import (
 )
 from sparkroster.operators.select import label_select
 from sparkroster.schemas import SAVED_QUERIES, empty_map
-from sparkroster.sources.parquet import DEFAULT_SUB_DIR, verify_written, write_parquet
+from sparkroster.sources.parquet import DEFAULT_SUB_DIR, verify_written, write_apart
 
 # Definition columns and the data keys they are stored under.
 _STORED = {
@@ -220,7 +220,7 @@ def run_and_write(
     min_rows: int = 1,
     **call,
 ) -> DataFrame:
-    """Run a saved query, write its result as Parquet, and report on the output."""
+    """Run a saved query, write its result as Parquet, and report on what this call wrote."""
     result = run_saved_query(spark, defs, name, **call)
-    path = write_parquet(result, base, sub_dir)
+    path = write_apart(result, base, sub_dir)
     return verify_written(spark, path, result.schema, min_rows)

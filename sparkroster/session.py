@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,12 +12,9 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder path below the shared folder that the cluster names.
 
-    Only a local session without the setting gets a temporary folder of its own; on a
-    cluster every executor must see the folder, so a missing setting is an error there.
+    Every executor must see the folder, so a missing setting is an error.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="sparkroster-")
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -11,6 +11,7 @@ from sparkroster.functions import (
     encode,
     or_empty,
     path_base,
+    path_dir,
     split_file_fields,
 )
 from sparkroster.schemas import ENTRY_KEY, empty_map
@@ -20,6 +21,11 @@ def _plain_path(c: Column) -> Column:
     return F.regexp_replace(c, "^file:/+", "/")
 
 
+def _decoded(c: Column) -> Column:
+    """A path from its form as a URI; a plus sign stands for itself there."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def files_as_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, key, value) per file: its name as the key and its bytes as base64 text."""
     files = spark.read.format("binaryFile").load(paths)
@@ -30,20 +36,31 @@ def files_as_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def files_as_entries(
-    spark: SparkSession, paths: str | list[str], kind: str, namespace: str, name: str
+    spark: SparkSession,
+    paths: str | list[str],
+    kind: str,
+    namespace: str,
+    name: str | Column | None = None,
 ) -> DataFrame:
-    """One entry whose data maps file names to base64 text.
+    """Entries whose data maps file names to base64 text.
 
-    The files of one entry become one map cell; for many or large files use
-    :func:`files_as_rows`, which keeps one row per file. A missing path is an error.
+    All files are one entry called ``name``, or ``name`` is a column over ``path``, or each
+    folder is an entry of its own name. The files of one entry become one map cell; for many
+    or large files use :func:`files_as_rows`, which keeps one row per file. A missing path is
+    an error; of equal file names in one entry the first in order of content is kept.
     """
+    if name is None:
+        name = path_base(path_dir(F.col("path")))
+    entry = F.lit(name) if isinstance(name, str) else name
+    files = files_as_rows(spark, paths).groupBy(entry.alias("name"), "key")
     return (
-        files_as_rows(spark, paths)
+        files.agg(F.min("value").alias("value"))
+        .groupBy("name")
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("data"))
         .select(
             F.lit(kind).alias("kind"),
             F.lit(namespace).alias("namespace"),
-            F.lit(name).alias("name"),
+            "name",
             empty_map().alias("labels"),
             "data",
         )
@@ -53,7 +70,7 @@ def files_as_entries(
 def text_files_as_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, text) per file, the whole file as one UTF-8 string."""
     return spark.read.text(paths, wholetext=True).select(
-        _plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text")
+        _decoded(_plain_path(F.col("_metadata.file_path"))).alias("path"), F.col("value").alias("text")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -29,6 +30,17 @@ def write_parquet(
     return path
 
 
+def write_apart(df: DataFrame, base: str, sub_dir: str = DEFAULT_SUB_DIR) -> str:
+    """Write to a folder of its own, ``base/sub_dir/write_id=...``, and return its path.
+
+    What stands there is this write and nothing else, so it can be checked; reading
+    ``base/sub_dir`` gives all writes, with ``write_id`` as a column.
+    """
+    path = f"{base.rstrip('/')}/{sub_dir}/write_id={uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def _shape(schema: T.StructType) -> list[tuple[str, str]]:
     """Names and types; partition columns come last when read back, so order is left out."""
     return sorted((f.name, f.dataType.simpleString()) for f in schema.fields)

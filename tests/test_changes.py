@@ -178,12 +178,12 @@ def test_ordered_changes_of_one_new_key(spark):
         ("gone", 8, "delete", None),
     )
     base = entries(spark, {"still": {"s": "1"}})
-    for piece in (1, 2, 1 << 20):
-        done = op.apply_changes(base, log, piece=piece)
+    for shares in (1, 2, 100):
+        done = op.apply_changes(base, log, shares=shares)
         assert as_dict(done.table) == {"still": {"s": "1"}, "k": {"z": "1"}}
         assert {tuple(r)[2:] for r in done.results.collect()} == {
-            ("k", 4, 1, 0, True),
-            ("gone", 0, 2, 1, False),
+            ("k", 4, 1, 0, 0, True),
+            ("gone", 0, 2, 1, 0, False),
         }
 
 
@@ -216,9 +216,9 @@ def fold(base, log):
     return state, {k: (*v, k in state) for k, v in counts.items()}
 
 
-@pytest.mark.parametrize("piece", [1, 7, 1000])
-def test_change_log_equals_one_change_at_a_time(spark, piece):
-    rnd = random.Random(piece)
+@pytest.mark.parametrize("shares", [1, 7, 1000])
+def test_change_log_equals_one_change_at_a_time(spark, shares):
+    rnd = random.Random(shares)
     base = {f"k{i}": {"a": "0", "b": str(i)} for i in range(0, 120, 2)}
     log = []
     for seq in range(1500):
@@ -229,7 +229,7 @@ def test_change_log_equals_one_change_at_a_time(spark, piece):
             f: rnd.choice([None, str(seq)]) for f in rnd.sample("abcd", rnd.randrange(4))
         }
         log.append((name, seq, kind, data or rnd.choice([None, {}])))
-    done = op.apply_changes(entries(spark, base), changes(spark, *log), piece=piece)
+    done = op.apply_changes(entries(spark, base), changes(spark, *log), shares=shares)
     state, counts = fold(base, log)
     assert as_dict(done.table) == state
     got = {
@@ -271,3 +271,57 @@ def test_labels_survive_unless_deleted(spark):
     )
     got = {r.name: (r.labels, r.data) for r in op.apply_changes(base, log).table.collect()}
     assert got == {"a": ({"role": "script"}, {"x": "2"}), "b": (None, {"x": "3"})}
+
+
+def test_changes_without_seq_or_key_are_invalid(spark):
+    base = entries(spark, {"a": {"x": "1"}})
+    log = changes(
+        spark,
+        ("a", None, "patch", {"x": "2"}),
+        (None, 1, "patch", {"x": "3"}),
+        ("b", None, "create", {"x": "4"}),
+        ("c", 2, "create", {"x": "5"}),
+    )
+    for change in (op.create_if_absent, op.replace_existing, op.merge_patch_existing):
+        done = change(base, log)
+        assert statuses(done.results) | {("c", 2): "?"} == {
+            ("a", None): "invalid", (None, 1): "invalid", ("b", None): "invalid", ("c", 2): "?"
+        }
+        assert done.results.count() == 4 and as_dict(done.table)["a"] == {"x": "1"}
+    done = op.apply_changes(base, log)
+    assert as_dict(done.table) == {"a": {"x": "1"}, "c": {"x": "5"}}
+    assert {r.name: (r.applied, r.invalid, r.present) for r in done.results.collect()} == {
+        "a": (0, 1, True), None: (0, 1, False), "b": (0, 1, False), "c": (1, 0, True)
+    }
+    gone = op.delete_if_present(base, log.drop("data", "op", "seq"))
+    assert statuses(gone.results, "name") == {
+        "a": "deleted", None: "invalid", "b": "absent", "c": "absent"
+    }
+
+
+def test_upsert_leaves_untouched_rows(spark):
+    bare = inventory(spark, ns("p1", "n1", "dev"), ns("p2", "n2", "dev")).withColumns(
+        {"labels": F.lit(None).cast("map<string,string>"), "annotations": F.lit(None).cast("map<string,string>")}
+    )
+    asked = spark.createDataFrame(
+        [("p2-dev", 1, None, {"u": "1"}), (None, 2, {"x": "1"}, None), ("new", None, None, None)],
+        "namespace string, seq long, labels map<string,string>, annotations map<string,string>",
+    )
+    done = op.upsert_labels(bare, asked)
+    rows = {r.namespace: r for r in done.table.collect()}
+    before = {r.namespace: r for r in bare.collect()}
+    assert rows["p1-dev"] == before["p1-dev"]
+    assert rows["p2-dev"].labels is None and rows["p2-dev"].project_id == "p2"
+    assert rows["p2-dev"].annotations == {"u": "1"}
+    assert statuses(done.results, "namespace") == {"p2-dev": "patched", None: "invalid", "new": "invalid"}
+
+
+def test_pieces_of_a_sparse_hot_log_are_even(spark):
+    from sparkroster.operators.changelog import _in_pieces
+
+    log = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+        (F.col("id") * 1_000_003 + F.pmod(F.hash("id"), F.lit(1000))).alias("seq"),
+    )
+    sizes = [r["count"] for r in _in_pieces(log, ["k"], 50).groupBy("k", "_piece").count().collect()]
+    assert max(sizes) <= 3 * 30_000 / 50

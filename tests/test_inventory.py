@@ -50,7 +50,7 @@ def test_describe_and_list(spark):
             "other": {"code": "c"},
         },
     )
-    rows = op.describe_entry(df, "default", "One", prefix="script-").collect()
+    rows = op.describe_entry(df, "default", "One", prefix="script-", sort=True).collect()
     assert [(r.attribute, r.value) for r in rows] == [
         ("code", "c" * 200),
         ("description", "d" * 70 + "..."),
@@ -171,7 +171,7 @@ def test_summary_edges(spark):
         ns("p2", "zeta", "dev"),
         ns("p2", "alpha", ""),
     )
-    got = [tuple(r) for r in op.project_summary(inv).collect()]
+    got = [tuple(r) for r in op.project_summary(inv, sort=True).collect()]
     assert got == [
         ("p1", "[No Display Name Label]", 0, []),
         (
@@ -181,7 +181,7 @@ def test_summary_edges(spark):
             ["dev"],
         ),
     ]
-    texts = op.project_summary(inv).select(op.environments_text()).collect()
+    texts = op.project_summary(inv, sort=True).select(op.environments_text()).collect()
     assert [r[0] for r in texts] == ["-", "dev"]
     assert [tuple(r) for r in op.project_environment_rows(inv).collect()] == [("p2", "dev")]
 
@@ -195,7 +195,7 @@ def test_environments_of_a_project(spark):
         {"namespace": "p-y", "project_id": "p", "project_name": "n"},
     )
     asked = requests(spark, [(1, "N"), (2, "none")], "request_id long, project_name string")
-    got = [tuple(r) for r in op.project_environments(asked, inv).collect()]
+    got = [tuple(r) for r in op.project_environments(asked, inv, sort=True).collect()]
     assert got == [
         (1, "dev", "p-dev", "p", "n", "Active", "2024-05-01T10:00:00+00:00"),
         (1, "x", "p-x", "p", "n", "N/A", "N/A"),

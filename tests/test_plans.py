@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from sparkroster import operators as op
+from sparkroster.catalog import REGISTRY
 from sparkroster.operators.skew import hot_keys, lookup
 from sparkroster.schemas import INVENTORY, RUN_LOGS
 from sparkroster.session import work_dir
@@ -26,7 +27,7 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(e.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_no_cross_join_and_no_python(spark, no_broadcast, name):
     plan = physical(e.queries()[name](spark, SF_DIR))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "CollectLimit"):
@@ -68,17 +69,8 @@ def test_summary_is_one_shuffle_of_three_columns(spark):
     assert "ReadSchema: struct<project_id:string,project_name:string,environment:string>" in plan
 
 
-def test_adaptive_skew_join_covers_joins_of_plain_tables(spark, no_broadcast):
-    """Those lookups that do not go through ``lookup`` are split by the engine."""
-    conf = {
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
-        "spark.sql.shuffle.partitions": "8",
-    }
-    before = {k: spark.conf.get(k) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
+def test_environments_of_a_hot_project_are_spread(spark, no_broadcast):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         project = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
         rows = spark.range(150_000).select(
@@ -92,12 +84,29 @@ def test_adaptive_skew_join_covers_joins_of_plain_tables(spark, no_broadcast):
         requests = spark.range(500).select(
             F.col("id").alias("request_id"), F.concat(F.lit("Team-"), "id").alias("project_name")
         )
-        out = op.project_environments(requests, rows, sort=False)
-        assert len(out.collect()) == 50_000 + 333
-        assert "skew=true" in physical(out)
+        out = op.project_environments(requests, rows).withColumn("p", F.spark_partition_id())
+        sizes = [r["count"] for r in out.groupBy("p").count().collect()]
+        assert sum(sizes) == 50_000 + 333
+        # Four partitions: without spreading, one of them would hold all 50,000.
+        assert max(sizes) < 25_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_environments_that_do_not_resolve_are_spread(spark, no_broadcast):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        asked = spark.range(8_000).select(
+            F.col("id").alias("request_id"), F.lit("nobody").alias("project_name"), F.lit("dev").alias("environment")
+        )
+        none = spark.range(0).selectExpr(
+            "'n' AS namespace", "'i' AS project_id", "'p' AS project_name", "'e' AS environment"
+        )
+        out = op.resolve_environments(asked, none).withColumn("p", F.spark_partition_id())
+        sizes = [r["count"] for r in out.groupBy("p").count().collect()]
+        assert sum(sizes) == 8_000 and max(sizes) < 4_000
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_hot_keys_are_few_and_exact(spark):

@@ -192,7 +192,7 @@ def test_tail(spark):
         "run_id string, outcome string",
     )
     got = {}
-    for r in op.tail_lines(logs, outcomes).collect():
+    for r in op.tail_lines(logs, outcomes, sort=True).collect():
         got.setdefault(r.run_id, []).append(r.line)
     assert got == {
         "ok": [f"p2 {i}" for i in range(50, 150)],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkroster import plans, sources
 from sparkroster.schemas import ENTRIES, SAVED_QUERIES
 from sparkroster.session import work_dir
-from tests.helpers import entries
+from tests.helpers import as_dict, entries
 
 
 def definitions(spark, *rows):
@@ -87,15 +87,18 @@ def test_config_from_an_entry(spark):
     assert plans.resolve_params(spark, None, config, "run_", "n:int") == {"n": 2}
 
 
-def test_run_and_write_twice_appends(spark):
+def test_run_and_write_reports_its_own_write(spark):
     base = work_dir(spark, "saved")
     defs = definitions(spark, ("rows", "PYSPARK", None, "rows", None, "n:int", ""))
     call = {"inline": {"n": 4}, "functions": {"rows": lambda s, p: sources.sample_rows(s, p["n"])}}
     one = plans.run_and_write(spark, defs, "rows", base, **call).first()
     assert (one.n_rows, one.schema_ok, one.found) == (4, True, True)
-    assert one.path == f"{base}/output"
+    assert one.path.startswith(f"{base}/output/write_id=")
     two = plans.run_and_write(spark, defs, "rows", base, min_rows=9, **call).first()
-    assert (two.n_rows, two.found) == (8, False)
+    assert (two.n_rows, two.found) == (4, False)
+    none = plans.run_and_write(spark, defs, "rows", base, **(call | {"inline": {"n": 0}})).first()
+    assert (none.n_rows, none.schema_ok, none.found) == (0, True, False)
+    assert spark.read.parquet(f"{base}/output").count() == 8
 
 
 def test_sample_rows(spark):
@@ -160,3 +163,20 @@ def test_no_files_are_collected_by_accident(spark, tmp_path):
     rows = sources.text_files_as_rows(spark, str(tmp_path))
     assert [tuple(r) for r in rows.collect()] == [(str(tmp_path / "one.txt"), "a\nb")]
     assert rows.where(F.col("text").contains("b")).count() == 1
+
+
+@pytest.mark.parametrize("name", ["a b.txt", "a%20b.txt", "a+b.txt", "é%.txt", "#1?.txt"])
+def test_readers_agree_on_paths(spark, tmp_path, name):
+    (tmp_path / name).write_text("x")
+    want = [str(tmp_path / name)]
+    assert [r.path for r in sources.text_files_as_rows(spark, str(tmp_path)).collect()] == want
+    assert [r.path for r in sources.files_as_rows(spark, str(tmp_path)).collect()] == want
+
+
+def test_each_folder_is_an_entry(spark, tmp_path):
+    for folder, name in (("one", "a"), ("one", "b"), ("two", "a")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(folder + name)
+    got = as_dict(sources.files_as_entries(spark, f"{tmp_path}/*/*", "secret", "default"))
+    text = {n: {k: base64.b64decode(v).decode() for k, v in d.items()} for n, d in got.items()}
+    assert text == {"one": {"a": "onea", "b": "oneb"}, "two": {"a": "twoa"}}

@@ -22,12 +22,12 @@ def test_first_project_and_environments(spark):
         ns(A, "miprimeraapp", "production"),
         ns(B, "otroproyecto", "dev"),
     )
-    got = [tuple(r) for r in op.project_summary(inv).collect()]
+    got = [tuple(r) for r in op.project_summary(inv, sort=True).collect()]
     assert got == [
         (A, "miprimeraapp", 3, ["dev", "production", "staging"]),
         (B, "otroproyecto", 1, ["dev"]),
     ]
-    rows = op.project_environments(names(spark, "MiPrimeraApp"), inv).collect()
+    rows = op.project_environments(names(spark, "MiPrimeraApp"), inv, sort=True).collect()
     assert [r.environment for r in rows] == ["dev", "production", "staging"]
     assert {(r.status, r.created) for r in rows} == {("N/A", "N/A")}
 
@@ -45,7 +45,7 @@ def test_rename_then_lookup_by_both_names(spark):
     done = op.rename_projects(inv, asked)
     assert [tuple(r) for r in done.results.collect()] == [(1, A, "renamed", 2, 2, "all")]
     after = done.table
-    assert [r.project_display_name for r in op.project_summary(after).collect()] == [
+    assert [r.project_display_name for r in op.project_summary(after, sort=True).collect()] == [
         "apprenombrada",
         "otroproyecto",
     ]

@@ -71,7 +71,7 @@ def test_projects_and_environments(spark):
     assert got["qa"].depends_on == "dev" and got["qa"].labels["depends-on"] == "dev"
     assert got["staging"].depends_on is None and "depends-on" not in got["staging"].labels
     assert got["qa"].repo_name == "project-miprimeraapp"
-    report = op.project_summary(grown.table).collect()
+    report = op.project_summary(grown.table, sort=True).collect()
     summary = [(r.project_display_name, r.environment_names) for r in report]
     assert summary == [("miprimeraapp", ["dev", "qa", "staging"]), ("otroproyecto", ["dev"])]
 
@@ -152,7 +152,7 @@ def test_script_from_a_file_is_stored_listed_described_and_run(spark, tmp_path):
             "script-script-de-archivo",
         )
     ]
-    shown = op.describe_entry(stored, "default", "Script-De-Archivo", prefix="script-").collect()
+    shown = op.describe_entry(stored, "default", "Script-De-Archivo", prefix="script-", sort=True).collect()
     assert [r.attribute for r in shown] == [
         "code",
         "description",
