@@ -19,11 +19,11 @@ from pyspark.sql import types as T
 from .common import ragged, text_chunks
 
 BLANK = "▁"
-CACHED_WORDS = 250_000
+CACHED_WORDS = 120_000
 CACHED_CHARS = 48
-CACHED_PAIRS = 1_000_000
-WORDS_AT_ONCE = 60_000
-CHUNK_BYTES = 4 << 20
+CACHED_PAIRS = 400_000
+WORDS_AT_ONCE = 40_000
+CHUNK_BYTES = 2 << 20
 NO_MERGE = np.iinfo(np.int64).max
 # Piece kinds of the model format.
 NORMAL, BYTE = 1, 6
