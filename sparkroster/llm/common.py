@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,7 +124,7 @@ def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit polynomial hash of each stretch of bytes; equal stretches have equal ones."""
-    up, down = _powers(max(1 << 22, 1 << len(data).bit_length()))
+    up, down = _powers(max(1 << 21, 1 << len(data).bit_length()))
     sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)]
     return (sums[ends] - sums[starts]) * down[starts]
 

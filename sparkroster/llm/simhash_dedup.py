@@ -8,13 +8,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import in_blocks, unite, whole_runs
-from .common import materialised
+from .common import materialised, text_chunks
 from .components import connected_components
 
 SEED = 42
@@ -50,7 +49,7 @@ def fingerprint_of(text: str, words: int = 4) -> int:
 @F.arrow_udf(T.LongType())
 def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        values = [fingerprint_of(t) for t in pc.fill_null(texts, "").to_pylist()]
+        values = [fingerprint_of(t) for chunk in text_chunks(texts) for t in chunk.to_pylist()]
         yield pa.array(np.array(values, np.uint64).view(np.int64))
 
 
@@ -69,18 +68,21 @@ def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         while rest >= 1 << 11:
             rest ^= GENERATOR << (rest.bit_length() - 12)
         place[i] = rest
-    remainder = np.zeros(1 << 23, np.int32)
-    for i, p in enumerate(place):
+    # Segments have 22 bits at most, so the words of 23 bits with the highest set are not needed.
+    remainder = np.zeros(1 << 22, np.int16)
+    for i, p in enumerate(place[:22]):
         remainder[1 << i : 2 << i] = remainder[: 1 << i] ^ p
     near = np.zeros(1 << 11, np.int64)
-    for weight in (1, 2, 3):
-        for bits in combinations(range(23), weight):
-            error = sum(1 << b for b in bits)
-            near[remainder[error]] = error
     far: list[list[int]] = [[] for _ in range(1 << 11)]
-    for bits in combinations(range(23), 4):
-        error = sum(1 << b for b in bits)
-        far[remainder[error]].append(error)
+    for weight in (1, 2, 3, 4):
+        for bits in combinations(range(23), weight):
+            error, rest = 0, 0
+            for b in bits:
+                error, rest = error | 1 << b, rest ^ place[b]
+            if weight == 4:
+                far[rest].append(error)
+            else:
+                near[rest] = error
     width = max(map(len, far))
     return remainder, near, np.array([f + [0] * (width - len(f)) for f in far], np.int64)
 

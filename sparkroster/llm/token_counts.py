@@ -9,15 +9,17 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_chunks
+
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_RANK = np.iinfo(np.int64).max
+COUNTED_BYTES = 8 << 20
 CACHED_WORDS = 400_000
 CACHED_CHARS = 48
 WORDS_AT_ONCE = 200_000
@@ -139,7 +141,7 @@ def n_tokens(text: Column, path: str) -> Column:
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = _counter(path)
         for texts in batches:
-            yield pa.array(counter.count(pc.fill_null(texts, "").to_pylist()), pa.int64())
+            yield pa.array([n for chunk in text_chunks(texts, COUNTED_BYTES) for n in counter.count(chunk.to_pylist())], pa.int64())
 
     return counted(F.coalesce(text, F.lit("")))
 

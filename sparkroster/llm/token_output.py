@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from .common import new_folder, ragged, text_chunks
 
-ENCODED_BYTES = 6 << 20
-CACHED_WORDS = 250_000
+ENCODED_BYTES = 3 << 20
+CACHED_WORDS = 150_000
 CACHED_CHARS = 48
 LAYOUT = {
     "compression": "zstd",

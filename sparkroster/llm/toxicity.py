@@ -12,12 +12,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_fold, labelled_sample, materialised
+from .common import in_fold, labelled_sample, materialised, text_chunks
 
 MAX_ROWS = 20_000
 MAX_CANDIDATES = 4_000
@@ -233,7 +232,7 @@ def toxicity_score(text: Column, lexicon: Lexicon) -> Column:
     @F.arrow_udf(T.DoubleType())
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([lexicon.score(t) for t in pc.fill_null(texts, "").to_pylist()], pa.float64())
+            yield pa.array([lexicon.score(t) for chunk in text_chunks(texts) for t in chunk.to_pylist()], pa.float64())
 
     return scored.asNondeterministic()(F.coalesce(text, F.lit("")))
 
