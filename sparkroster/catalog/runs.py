@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from sparkroster import operators as op
 from sparkroster.catalog.base import iso_sql, query, table, work_dir
 from sparkroster.functions import iso_time
-from sparkroster.streaming import run_outcomes_stream, write_outcomes
+from sparkroster.streaming import (
+    run_outcomes_stream,
+    unstarted_outcomes_stream,
+    write_outcomes,
+)
 
 TIMEOUT = 12 * 3600
 
@@ -133,6 +137,45 @@ def run_outcomes_stream_closed(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH e AS (
+      SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
+                  + INTERVAL {TIMEOUT} SECOND, true) AS opens FROM events),
+    s AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY user_id ORDER BY ts
+            RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stretch FROM e),
+    r AS (
+      SELECT user_id, min(ts) AS start, max(ts) AS until,
+             min(ts) FILTER (event_type = 'purchase') AS ok_at,
+             min(ts) FILTER (event_type = 'error') AS bad_at
+      FROM s GROUP BY user_id, stretch),
+    d AS (SELECT *, CASE WHEN least(ok_at, bad_at) <= start + INTERVAL {TIMEOUT} SECOND
+                    THEN least(ok_at, bad_at) END AS decided FROM r)
+    SELECT user_id::VARCHAR AS run_id, {iso_sql("start")} AS start_time,
+           CASE WHEN decided IS NULL THEN 'timeout' WHEN ok_at = decided THEN 'succeeded' ELSE 'failed' END
+             AS outcome, coalesce({iso_sql("decided")}, 'N/A') AS decided_at
+    FROM d WHERE until + INTERVAL {TIMEOUT + 1} SECOND
+      <= (SELECT max(ts) FROM events) - INTERVAL {DELAY} SECOND"""
+)
+def run_outcomes_stream_unstarted(spark, sf_dir):
+    """One run per user, without a start in any sample: the closed stretches of each."""
+    schema = table(spark, sf_dir, "events").schema
+    events = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    )
+    outcomes = unstarted_outcomes_stream(
+        _samples(events, F.col("user_id"), F.lit(None)), TIMEOUT, DELAY
+    )
+    path = work_dir(spark, "unstarted")
+    write_outcomes(outcomes, f"{path}/table", f"{path}/checkpoint", True).awaitTermination()
+    closed = spark.read.schema(outcomes.schema).parquet(f"{path}/table")
+    return closed.select(
+        "run_id",
+        iso_time("start_time").alias("start_time"),
+        "outcome",
+        iso_time("decided_at").alias("decided_at"),
+    )
+
+
 _SHIP_TIMEOUT, _SHIP_DELAY = 90 * 86400, 43200
 
 

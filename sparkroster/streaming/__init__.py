@@ -1,5 +1,5 @@
 """Structured Streaming operators."""
 
-from sparkroster.streaming.outcomes import run_outcomes_stream, write_outcomes
+from sparkroster.streaming.outcomes import run_outcomes_stream, unstarted_outcomes_stream, write_outcomes
 
-__all__ = ["run_outcomes_stream", "write_outcomes"]
+__all__ = ["run_outcomes_stream", "unstarted_outcomes_stream", "write_outcomes"]

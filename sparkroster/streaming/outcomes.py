@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,7 +20,8 @@ def run_outcomes_stream(
     A run is closed once its timeout and the allowed delay have passed in event time; by
     then each of its samples in time has arrived, so the result is the one of the batch
     rule, whatever the order of arrival. Runs that are open when the stream ends are not
-    in the result.
+    in the result, nor are samples without a start: those are for
+    :func:`unstarted_outcomes_stream`.
 
     Without ``starts`` every sample carries the start of its run, and one aggregation does
     it: two times per open run as the state, and the samples of a run reduced in the map
@@ -66,7 +67,42 @@ def run_outcomes_stream(
     firsts = rows.groupBy("run_id", "start_time").agg(
         F.min("_ok_at").alias("_ok_at"), F.min("_bad_at").alias("_bad_at")
     )
-    decided = F.least("_ok_at", "_bad_at")
+    return _decided(firsts, F.least("_ok_at", "_bad_at"))
+
+
+def unstarted_outcomes_stream(
+    samples: DataFrame, timeout_s: int = RUN_TIMEOUT_SECONDS, delay_s: int = 60
+) -> DataFrame:
+    """(run_id, start_time, outcome, decided_at) of runs whose samples carry no start.
+
+    As in the batch rule, such a run starts with its first sample. Its samples form a session
+    that closes once nothing came for the timeout; the first sample within the timeout that
+    shows a success or a failure decides. A run that falls silent for longer than its timeout
+    and is sampled again gives a row per stretch, the earliest of which is the run's.
+    """
+    ok = F.coalesce("succeeded", F.lit(0)) > 0
+    bad = F.coalesce("failed", F.lit(0)) > 0
+    rows = (
+        samples.where(F.col("start_time").isNull())
+        .select(
+            "run_id",
+            "ts",
+            F.when(ok, F.col("ts")).alias("_ok_at"),
+            F.when(bad & ~ok, F.col("ts")).alias("_bad_at"),
+        )
+        .withWatermark("ts", f"{delay_s} seconds")
+    )
+    stretch = F.session_window("ts", f"{timeout_s + 1} seconds").alias("_stretch")
+    firsts = rows.groupBy("run_id", stretch).agg(
+        F.min("_ok_at").alias("_ok_at"), F.min("_bad_at").alias("_bad_at")
+    )
+    firsts = firsts.withColumn("start_time", F.col("_stretch")["start"])
+    deadline = F.timestamp_add("SECOND", F.lit(timeout_s), F.col("start_time"))
+    first = F.least("_ok_at", "_bad_at")
+    return _decided(firsts, F.when(first <= deadline, first))
+
+
+def _decided(firsts: DataFrame, decided: Column) -> DataFrame:
     return firsts.select(
         "run_id",
         "start_time",
