@@ -103,13 +103,17 @@ def path_parts(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey, 1 AS n_literal, c_name AS name, 1 AS n_files,
-           '/certs/' || c_custkey || '.pem' AS cert
+    """SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN 1 ELSE 2 END AS n_literal, c_name AS name,
+           CASE WHEN c_nationkey < 10 THEN 1 ELSE 0 END AS n_files,
+           CASE WHEN c_nationkey < 10 THEN '/certs/' || c_custkey || '.pem' END AS cert
     FROM customer"""
 )
 def split_file_fields(spark, sf_dir):
     path = F.concat(F.lit("/certs/"), F.col("c_custkey").cast("string"), F.lit(".pem"))
-    fields = string_map(name=F.col("c_name"), file_cert=path, file_=F.col("c_name"))
+    fields = F.when(
+        F.col("c_nationkey") < 10,
+        string_map(name=F.col("c_name"), file_cert=path, file_=F.col("c_name")),
+    ).otherwise(string_map(name=F.col("c_name"), cert=path, file_=F.col("c_name")))
     literal, files = fn.split_file_fields(fields)
     return table(spark, sf_dir, "customer").select(
         "c_custkey",
@@ -166,13 +170,16 @@ def merge_params(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey, c_mktsegment AS segment, c_nationkey::VARCHAR AS nation, 2 AS n
+    """SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment,
+           c_nationkey::VARCHAR AS nation, CASE WHEN c_acctbal >= 0 THEN 2 ELSE 1 END AS n
     FROM customer"""
 )
 def params_by_prefix(spark, sf_dir):
-    config = string_map(
+    more = string_map(
         run_segment=F.col("c_mktsegment"), run_nation=F.col("c_nationkey"), other=F.col("c_name")
     )
+    less = string_map(segment=F.col("c_mktsegment"), run_nation=F.col("c_nationkey"))
+    config = F.when(F.col("c_acctbal") >= 0, more).otherwise(less)
     return (
         table(spark, sf_dir, "customer")
         .select("c_custkey", fn.params_by_prefix(config, "run_").alias("p"))

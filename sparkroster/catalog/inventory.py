@@ -298,6 +298,17 @@ def project_summary(spark, sf_dir):
     return out.withColumn("environment_names", op.environments_text())
 
 
+@query(
+    f"""WITH {INV} SELECT project_id,
+           coalesce(min(nullif(project_name, '')), '[No Display Name Label]') AS project_display_name,
+           count(DISTINCT nullif(project_name, '')) > 1 AS several_names,
+           count(DISTINCT nullif(environment, '')) AS environment_count
+    FROM inv WHERE project_id <> '' GROUP BY project_id"""
+)
+def project_counts(spark, sf_dir):
+    return op.project_counts(inventory(spark, sf_dir))
+
+
 @query(f"WITH {INV} SELECT DISTINCT project_id, environment FROM inv WHERE environment <> ''")
 def project_environment_rows(spark, sf_dir):
     return op.project_environment_rows(inventory(spark, sf_dir))

@@ -100,6 +100,31 @@ def run_outcomes(spark, sf_dir):
     return out.withColumn("decided_at", iso_time("decided_at"))
 
 
+@query(
+    f"""WITH r AS (
+      SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS run_id,
+             date_trunc('day', ts) + INTERVAL {TIMEOUT} SECOND AS deadline,
+             min(ts) FILTER (event_type = 'purchase') AS ok_at,
+             min(ts) FILTER (event_type = 'error') AS bad_at, list(ts) AS times
+      FROM events GROUP BY 1, 2),
+    d AS (
+      SELECT *, CASE WHEN least(ok_at, bad_at) <= deadline THEN least(ok_at, bad_at) END AS decided
+      FROM r)
+    SELECT run_id, CASE WHEN decided IS NULL THEN 'timeout' WHEN ok_at = decided THEN 'succeeded'
+             ELSE 'failed' END AS outcome,
+           CASE WHEN decided IS NULL THEN len([t for t in times if t <= deadline])
+                ELSE len([t for t in times if t < decided]) + 1 END AS attempt,
+           coalesce({iso_sql("decided")}, 'N/A') AS decided_at
+    FROM d"""
+)
+def run_outcomes_started(spark, sf_dir):
+    """One run per user and day, which starts with the day."""
+    run_id = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    samples = _samples(table(spark, sf_dir, "events"), run_id, F.date_trunc("day", F.col("ts")))
+    out = op.run_outcomes(samples, TIMEOUT)
+    return out.withColumn("decided_at", iso_time("decided_at"))
+
+
 DELAY = 3600
 
 
@@ -317,11 +342,19 @@ def error_details(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, 'N/A' AS message, NULL::VARCHAR AS cause, NULL::VARCHAR AS note
+    """SELECT event_id, CASE WHEN event_type = 'error' THEN 'user ' || user_id ELSE 'N/A' END
+             AS message,
+           CASE WHEN event_type = 'error' THEN props END AS cause, NULL::VARCHAR AS note
     FROM events WHERE json_valid(props)"""
 )
 def error_details_of_events(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select("event_id", "props")
+    cause = F.struct(F.col("event_type").alias("field"), F.col("props").alias("message"))
+    full = F.struct(
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("message"),
+        F.struct(F.array(cause).alias("causes")).alias("details"),
+    )
+    body = F.when(F.col("event_type") == "error", F.to_json(full)).otherwise(F.col("props"))
+    df = table(spark, sf_dir, "events").select("event_id", body.alias("props"))
     return op.error_details(df, "props").select(
         "event_id", "message", F.col("cause_message").alias("cause"), "note"
     )

@@ -17,6 +17,7 @@ from sparkroster.operators.report import (
     apply_tally,
     environments_text,
     failed_rows,
+    project_counts,
     project_environment_rows,
     project_environments,
     project_summary,
@@ -70,6 +71,7 @@ __all__ = [
     "merge_patch_existing",
     "name_owner",
     "only_named",
+    "project_counts",
     "project_environment_rows",
     "project_environments",
     "project_summary",

@@ -20,9 +20,34 @@ def _filled(c: str) -> Column:
     return F.nullif(F.col(c), F.lit(""))
 
 
+def project_counts(inventory: DataFrame) -> DataFrame:
+    """One row per project id: lowest name, whether it has several, number of environments.
+
+    No list is collected: rows are reduced per project and environment, then per project.
+    """
+    per_environment = (
+        inventory.where(F.col("project_id") != "")
+        .groupBy("project_id", _filled("environment").alias("_environment"))
+        .agg(F.min(_filled("project_name")).alias("_low"), F.max(_filled("project_name")).alias("_high"))
+    )
+    grouped = per_environment.groupBy("project_id").agg(
+        F.min("_low").alias("_low"),
+        F.max("_high").alias("_high"),
+        F.count("_environment").alias("environment_count"),
+    )
+    return grouped.select(
+        "project_id",
+        F.coalesce("_low", F.lit(NO_DISPLAY_NAME)).alias("project_display_name"),
+        F.coalesce(F.col("_low") != F.col("_high"), F.lit(False)).alias("several_names"),
+        "environment_count",
+    )
+
+
 def project_summary(inventory: DataFrame, sort: bool = False) -> DataFrame:
     """One row per project id: display name, number of environments, their names.
 
+    :func:`project_counts` gives the counts and the verdict on names without any list.
+
     One shuffle: the sets are combined in the map tasks before it, so copies never leave
     their task and a project with a large share of the rows arrives as one set per task.
     Removing copies in a shuffle of their own took twice as long on an inventory without

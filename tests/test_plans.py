@@ -157,3 +157,12 @@ def test_lookup_spreads_the_hot_key_and_the_null_key(spark, no_broadcast):
         assert most < 1_500
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_counts_need_no_list(spark, no_broadcast):
+    for name in ("project_counts", "apply_counts"):
+        assert "collect_" not in physical(e.queries()[name](spark, SF_DIR))
+
+
+def test_describing_an_entry_reads_it_once(spark):
+    assert physical(e.queries()["describe_entry"](spark, SF_DIR)).count("Scan parquet") == 1
