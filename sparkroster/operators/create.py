@@ -46,17 +46,25 @@ def create_projects(
 
     Requests have (request_id, project_name). A name that any project carries is taken.
     Ids are derived from ``batch``, a text that is new for every call, so that a repeated
-    task gives the same id. Results have (request_id, project_id, namespace, status).
+    task gives the same id. Results have (request_id, project_id, namespace, status): created,
+    taken, or id_conflict where the short id is another project's; of new projects with one id
+    the lowest request has it. Ask again in another batch.
     """
     asked = name_owner(
         requests.select("request_id", F.lower("project_name").alias("project_name")), inventory
     )
     seed = F.concat_ws("/", F.lit(batch), F.col("request_id").cast("string"), "project_name")
-    made = (
+    named = (
         asked.where(~F.col("taken"))
         .groupBy("project_name")
         .agg(F.min("request_id").alias("request_id"))
         .withColumn("project_id", new_id(seed))
+    )
+    made = (
+        named.groupBy("project_id")
+        .agg(F.min_by(F.struct("request_id", "project_name"), "request_id").alias("_first"))
+        .select("project_id", "_first.*")
+        .join(inventory.select("project_id"), "project_id", "left_anti")
         .withColumn("namespace", physical_name("project_id", F.lit(environment)))
     )
     repo = repo_name("project_name", repo_prefix)
@@ -72,7 +80,16 @@ def create_projects(
     results = (
         asked.select("request_id")
         .join(made.select("request_id", "project_id", "namespace"), "request_id", "left")
-        .withColumn("status", F.when(F.col("project_id").isNull(), "taken").otherwise("created"))
+        .join(named.select("request_id", F.lit(True).alias("_named")), "request_id", "left")
+        .select(
+            "request_id",
+            "project_id",
+            "namespace",
+            F.when(F.col("project_id").isNotNull(), "created")
+            .when(F.col("_named"), "id_conflict")
+            .otherwise("taken")
+            .alias("status"),
+        )
     )
     return Changed(_insert(inventory, rows, repo_url), results)
 

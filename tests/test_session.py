@@ -84,6 +84,10 @@ def test_ids_repeat_for_one_batch_and_differ_between_batches(spark):
         return op.create_projects(empty, wanted, batch, "git/").results.first().project_id
 
     assert made("b1") == made("b1") != made("b2")
+    held = inventory(spark, ns(made("b1"), "another", "dev"))
+    done = op.create_projects(held, wanted, "b1", "git/")
+    assert [r.status for r in done.results.collect()] == ["id_conflict"]
+    assert done.table.count() == 1
 
 
 def test_environment_of_a_project_without_a_repository(spark):
