@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import ragged, text_chunks
 
 BLANK = "▁"
-CACHED_WORDS = 120_000
+CACHED_WORDS = 100_000
 CACHED_CHARS = 48
 CACHED_PAIRS = 400_000
 WORDS_AT_ONCE = 40_000
@@ -89,7 +89,8 @@ class PieceModel:
         stop = re.escape(breaks)
         self.words = re.compile(f"{BLANK}+[^{BLANK}{stop}]*|[^{BLANK}{stop}]+|[{stop}]" if breaks else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.texts = [b"" if k not in (NORMAL, BYTE) else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(BLANK, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
         self.text_sizes = np.array([len(t) for t in self.texts], np.int64)
         self.text_bytes = np.frombuffer(b"".join(self.texts), np.uint8)
@@ -261,11 +262,15 @@ class PieceModel:
         return np.concatenate(out).astype(np.int32), sizes
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words; short words are remembered, up to a bound that only spares time."""
-        found = {w: ids for w in words if (ids := self.known.get(w)) is not None}
+        """Ids of distinct words. Short words are remembered for a while; the bound on how many only costs or
+        spares time."""
+        found = {w: ids for w in words if (ids := self.recent.get(w)) is not None}
+        again = {w: ids for w in words if w not in found and (ids := self.older.get(w)) is not None}
+        found |= again
         new = [w for w in words if w not in found]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
+        if len(self.recent) + len(again) + len(new) > CACHED_WORDS:
+            self.recent, self.older = {}, self.recent
+        self.recent |= again
         for first in range(0, len(new), WORDS_AT_ONCE):
             part = new[first : first + WORDS_AT_ONCE]
             blanks = [len(w) - len(w.lstrip(BLANK)) for w in part]
@@ -280,7 +285,7 @@ class PieceModel:
                     own = np.array(self.blank_run(b if free else b - 1), np.int32).tobytes() + (own[4:] if free else own)
                 found[w] = own
                 if len(w) <= CACHED_CHARS:
-                    self.known[w] = own
+                    self.recent[w] = own
         return found
 
     def encode(self, texts: pa.Array) -> pa.Array:
