@@ -56,23 +56,23 @@ class Patterns:
         number = number + 1
         ends = np.cumsum(words.per_text)
         found: dict[bytes, int] = {}
-        self.phrases: list[np.ndarray] = []
+        phrases: list[np.ndarray] = []
         of_item: list[tuple[int, int]] = []
         self.ids = [str(i) for i, _ in items]
         for k, (begin, end) in enumerate(zip(ends - words.per_text, ends, strict=True)):
             size = min(window, int(end - begin))
             for at in range(begin, end - size + 1) if size else ():
                 phrase = number[at : at + size]
-                w = found.setdefault(phrase.tobytes(), len(self.phrases))
-                if w == len(self.phrases):
-                    self.phrases.append(phrase)
+                w = found.setdefault(phrase.tobytes(), len(phrases))
+                if w == len(phrases):
+                    phrases.append(phrase)
                 of_item.append((w, k))
-        self.lengths = np.array([len(p) for p in self.phrases], np.int64)
+        self.lengths = np.array([len(p) for p in phrases], np.int64)
         self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
         pairs = np.unique(np.array(of_item, np.int64).reshape(-1, 2), axis=0)
-        self.items_of, self.items_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.phrases) + 1))
-        self.padded = np.zeros((len(self.phrases), window), np.int64)
-        for i, p in enumerate(self.phrases):
+        self.items_of, self.items_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(phrases) + 1))
+        self.padded = np.zeros((len(phrases), window), np.int32)
+        for i, p in enumerate(phrases):
             self.padded[i, : len(p)] = p
 
     def numbers(self, words: Words, which: np.ndarray) -> np.ndarray:
@@ -151,7 +151,7 @@ class FmIndex:
             live = live[(lengths[live] > back) & (low[live] < high[live])]
             if not len(live):
                 break
-            symbol = phrases[live, lengths[live] - 1 - back]
+            symbol = phrases[live, lengths[live] - 1 - back].astype(np.int64)
             both = self.rank(np.r_[symbol, symbol], np.r_[low[live], high[live]]) + np.tile(self.first[symbol], 2)
             low[live], high[live] = both[: len(live)], both[len(live) :]
         return low, np.maximum(low, high)
