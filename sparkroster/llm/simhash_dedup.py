@@ -25,25 +25,31 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
 
 
-def fingerprint_of(text: str, words: int = 4) -> int:
-    """64 bits, each set if it is set in over half the XXH64 hashes of the text's shingles."""
+def shingles_of(text: str, words: int) -> Iterator[np.ndarray]:
+    """XXH64 hashes of the text's shingles, some at a time; a shorter text is one shingle, one without words none."""
     from xxhash import xxh64_intdigest
 
     # bytes.lower and bytes.split know the ASCII letters and the blanks 0x20 and 0x09 to 0x0D alone.
     parts = text.encode().lower().split()
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     size = min(words, len(parts))
     begin, end = starts[: len(parts) - size + 1].tolist(), ends[size - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
     for at in range(0, len(begin), HASHES_AT_ONCE):
         part = slice(at, at + HASHES_AT_ONCE)
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begin[part], end[part], strict=True)], "<u8")
+        yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begin[part], end[part], strict=True)], "<u8")
+
+
+def fingerprint_of(text: str, words: int = 4) -> int:
+    """64 bits, each set if it is set in over half the XXH64 hashes of the text's shingles."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingles_of(text, words):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(begin), bitorder="little").view("<u8")[0])
+        n += len(hashes)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 @F.arrow_udf(T.LongType())
@@ -172,7 +178,28 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay: of each group the smallest id, and of rows alike in id one; rows with a
-    null id stay, as nothing names them. All columns are kept."""
-    groups = simhash_groups(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(groups, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    null id stay, as nothing names them. All columns are kept. Groups are those of `near_groups`."""
+    groups = near_groups(docs)
+    lowest = groups.groupBy("root").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
+    kept = docs.join(lowest, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """`doc_id, row, root` for every row of `docs(doc_id, text, ...)`, `row` a hash of id and text: rows have one
+    root where links connect them. Texts link whose sets of five-word shingles have a Jaccard similarity of
+    0.8 or more, and those that `simhash_groups` links."""
+    from .shingle_sets import alike_edges, marks
+
+    row = F.xxhash64("doc_id", "text").alias("row")
+    marked = docs.select("doc_id", row, fingerprint(F.col("text")).alias("print"), marks(F.col("text")).alias("mark"))
+    marked = materialised(marked.select("doc_id", "row", "print", "mark.*"), "marks")
+    nodes = materialised(marked.groupBy("node").agg(*[F.min(c).alias(c) for c in ("row", "print", "low", "high", "keys")]), "nodes")
+    firsts = materialised(nodes.groupBy("print").agg(F.min("node").alias("first")), "firsts")
+    alike_prints = nodes.join(firsts, "print").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = print_components(nodes.select("print").distinct())
+    lower = firsts.select(F.col("print").alias("root"), F.col("first").alias("a"))
+    near = near.join(lower, "root").join(firsts.select(F.col("print").alias("node"), F.col("first").alias("b")), "node").select("a", "b")
+    texts = docs.select(row, "text")
+    roots = connected_components(alike_prints.union(near).union(alike_edges(nodes, texts)))
+    return marked.join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root"))

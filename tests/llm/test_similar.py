@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sparkroster.llm import blocks, embedding_dedup, simhash_dedup
+from sparkroster.llm import blocks, embedding_dedup, shingle_sets, simhash_dedup
 from sparkroster.llm.components import connected_components
 from sparkroster.llm.embedding_dedup import least_count, near_vectors, table_plan
 from sparkroster.llm.simhash_dedup import fingerprint_of, fuzzy_keys, one_of_each_group, simhash_groups
@@ -162,3 +162,27 @@ def test_a_hot_key_meets_itself_in_bounded_blocks(spark):
                     pairs.add(pair)
     n = hot["id"].nunique()
     assert len(pairs) == n * (n - 1) // 2
+
+
+@pytest.mark.parametrize("limit", [512, 3])
+def test_near_copies_on_five_word_shingles_go(spark, monkeypatch, limit):
+    monkeypatch.setattr(shingle_sets, "SET_ROWS", limit)
+    source = np.random.default_rng(4)
+    texts = []
+    for _ in range(30):
+        words = [f"w{k}" for k in source.integers(0, 5000, 120)]
+        for edits in (0, 1, 2, 3, 6, 12):
+            copy = list(words)
+            for at in source.integers(0, 120, edits):
+                copy[at] = f"x{source.integers(0, 5000)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    alike = np.array([[len(a & b) * 5 >= 4 * len(a | b) for b in sets] for a in sets])
+    prints = np.array([slow_fingerprint(t) for t in texts], np.uint64)
+    linked = alike | (np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4)
+    ids = np.arange(len(texts))
+    want = set(labels(linked, ids).tolist())
+    assert sorted(r["doc_id"] for r in one_of_each_group(docs).collect()) == sorted(want)
+    assert len(want) < len({r["component_id"] for r in simhash_groups(docs).collect()})
+    assert one_of_each_group(docs.limit(0)).collect() == []
