@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import SMALL_LIST
 from .common import materialised
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT = 0.02
 MIN_CONFIDENCE = 0.8
-MAX_RULES = 2_000
 CLASS = "verdict="
 Rules = list[tuple[str, str, str]]
 
@@ -45,52 +45,47 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(marked("h:", host, r"\."), marked("p:", path, "/"), marked("q:", query, "&")))
 
 
-def mined_rules(pages: DataFrame, min_support: float, min_confidence: float, max_rules: int) -> list[tuple[list[str], str, float, float]]:
-    """Rules `(tokens, verdict, confidence, support)` from `pages(tokens, verdict)`, the strongest first.
+def mined_rules(pages: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+    """Rules `tokens, verdict, strength` from `pages(tokens, verdict)`; the smallest `strength` is the strongest.
 
-    Tokens that every page has are left out of the mining: they tell nothing. A rule whose tokens include
-    those of a rule before it is pruned. `max_rules` bounds the size of the model."""
+    Tokens that every page has are left out of the mining: they tell nothing. A rule is pruned where a rule of
+    one token less is stronger: every page that has its tokens meets that one. The number of rules is not bounded."""
     n = pages.count()
-    if not n:
-        return []
     everywhere = pages.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") == n).select("token")
     common = [r[0] for r in everywhere.collect()]
     baskets = pages.select(F.concat(F.array_except("tokens", F.lit(common).cast("array<string>")), F.array(F.concat(F.lit(CLASS), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0].startswith(CLASS))
     found = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(CLASS) + 1, 100).alias("verdict"), "confidence", "support")
-    strongest = found.orderBy(F.col("confidence").desc(), F.col("support").desc(), F.size("tokens"), "tokens").limit(max_rules)
-    kept: list[tuple[list[str], str, float, float]] = []
-    sets: list[set[str]] = []
-    for row in strongest.collect():
-        tokens = set(row["tokens"])
-        if not any(s <= tokens for s in sets):
-            sets.append(tokens)
-            kept.append((row["tokens"], row["verdict"], row["confidence"], row["support"]))
-    return kept
-
-
-def best_rule(pages: DataFrame, rules: list[tuple[list[str], str, float, float]]) -> DataFrame:
+    strength = F.struct((-F.col("confidence")).alias("confidence"), (-F.col("support")).alias("support"), F.size("tokens").alias("size"), "tokens", "verdict")
+    rules = materialised(found.select("tokens", "verdict", strength.alias("strength")), "mined-rules")
+    smaller = rules.select("tokens", "verdict", "strength", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("_fewer"))
+    stronger = rules.select(F.col("tokens").alias("_fewer"), F.col("strength").alias("_stronger"))
+    pruned = smaller.join(stronger, "_fewer").where("_stronger < strength").select("tokens", "verdict").distinct()
+    return rules.join(pruned, ["tokens", "verdict"], "left_anti")
+
+
+def best_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """`pages(tokens, ...)` with `_mined`, the verdict of the strongest rule whose tokens a page has, or null.
 
-    The rules, at most `MAX_RULES` of them, are an inverted index: each stands under its rarest token in the
-    rules, so that a page meets a rule once, and is then compared token by token."""
-    if not rules:
+    The rules are an inverted index: each stands under its rarest token in the rules, so that a page meets a
+    rule once, and is then compared token by token. An index of up to `SMALL_LIST` rules is sent to every
+    task, a longer one is joined by a shuffle on the token."""
+    uses = rules.select(F.explode("tokens").alias("token"), "tokens", "verdict", "strength")
+    counts = uses.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = uses.join(counts, "token").groupBy("tokens", "verdict").agg(F.min(F.struct("n", "token"))["token"].alias("_token"), F.first("strength").alias("_strength"))
+    index = materialised(rarest.select("_token", F.col("tokens").alias("_tokens"), "_strength", F.col("verdict").alias("_verdict")), "rule-index")
+    n_rules = index.count()
+    if not n_rules:
         return pages.withColumn("_mined", F.lit(None).cast("string"))
-    uses: dict[str, int] = {}
-    for tokens, *_ in rules:
-        for t in tokens:
-            uses[t] = uses.get(t, 0) + 1
-    kind = T.StructType([T.StructField("_token", T.StringType()), T.StructField("_tokens", T.ArrayType(T.StringType())), T.StructField("_place", T.IntegerType()), T.StructField("_verdict", T.StringType())])
-    index = pages.sparkSession.createDataFrame([(min(t, key=lambda x: (uses[x], x)), t, i, v) for i, (t, v, *_) in enumerate(rules)], kind)
     rows = pages.withColumn("_row", F.monotonically_increasing_id()).withColumn("_token", F.explode_outer("tokens"))
-    met = rows.join(F.broadcast(index), "_token", "left")
-    fits = F.when(F.size(F.array_except("_tokens", "tokens")) == 0, F.struct("_place", "_verdict"))
+    met = rows.join(F.broadcast(index) if n_rules <= SMALL_LIST else index, "_token", "left")
+    fits = F.when(F.size(F.array_except("_tokens", "tokens")) == 0, F.struct("_strength", "_verdict"))
     kept = [F.first(c).alias(c) for c in pages.columns]
     return met.groupBy("_row").agg(*kept, F.min(fits)["_verdict"].alias("_mined")).drop("_row")
 
 
-def judged_pages(pages: DataFrame, rules: Rules, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_rules: int = MAX_RULES) -> DataFrame:
+def judged_pages(pages: DataFrame, rules: Rules, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """`page_id, host, path, rule, verdict` for every row of `pages(page_id, url, ...)`.
 
     `verdict` is the listed rule's, else that of the strongest mined rule, else `allow`. Null URLs and those
@@ -102,5 +97,6 @@ def judged_pages(pages: DataFrame, rules: Rules, min_support: float = MIN_SUPPOR
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("listed"), url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
     rows = materialised(rows, "judged-pages")
-    mined = mined_rules(rows.where("listed IS NOT NULL").select("tokens", F.col("listed").alias("verdict")), min_support, min_confidence, max_rules)
-    return best_rule(rows, mined).select("page_id", "host", "path", "rule", F.coalesce("listed", "_mined", F.lit("allow")).alias("verdict"))
+    listed = rows.where("listed IS NOT NULL").select("tokens", F.col("listed").alias("verdict"))
+    judged = rows.withColumn("_mined", F.lit(None).cast("string")) if listed.isEmpty() else best_rule(rows, mined_rules(listed, min_support, min_confidence))
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("listed", "_mined", F.lit("allow")).alias("verdict"))

@@ -190,3 +190,11 @@ def test_odd_conversations(spark):
     model = chat_format.train_roles(chat_format.transcripts_of(spark.read.parquet(f"{SMALL}/conversations.parquet")))
     assert chat_format.parse("User: hi there?\n\nAssistant: Well.\nMore.\n\nUser: ok", model) == [("user", "hi there?"), ("assistant", "Well.\nMore."), ("user", "ok")]
     assert chat_format.parse("", model) == []
+
+
+def test_a_crowded_source_leaves_the_rules_of_others(spark):
+    shared = "/".join(f"t{k}" for k in range(10))
+    urls = [f"http://hot.net/{shared}/{k}" for k in range(40)] + [f"http://small.net/rare/{k}" for k in range(10)] + [f"http://x.org/fr/{k}" for k in range(10)]
+    pages = spark.createDataFrame(list(enumerate([*urls, "http://other.io/rare", "http://other.io/t3", "http://other.io/new"])), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judged_pages(pages, URL_RULES).collect()}
+    assert [got[60], got[61], got[62]] == ["block", "block", "allow"]
