@@ -11,10 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import SMALL_LIST
+from .common import materialised
+
 ROLES = ("system", "user", "assistant")
 PART_TURNS = 512
 # Names that transcripts give their speakers.
@@ -186,28 +189,56 @@ def canonical(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("\n<|end|>\n"))), "")
 
 
+def in_pieces(rows: DataFrame) -> DataFrame:
+    """`rows(conv_id, part, turn, role, text)` with `piece`: 0, but parts of over `PART_TURNS` rows are cut by row
+    number, in order of turn, role, the first 100 characters and a hash of the text.
+
+    The rows of such parts are dealt out by ranges of that order, whatever part they are of, and numbered
+    within a range; the counts of the ranges before give the offsets. No task gets a whole hot part."""
+    part = ["conv_id", "part"]
+    large = rows.groupBy(part).count().where(F.col("count") > PART_TURNS)
+    large = materialised(large.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part")), "large-parts")
+    n_large = large.count()
+    if not n_large:
+        return rows.withColumn("piece", F.lit(0).cast("long"))
+    listed = F.broadcast(large) if n_large <= SMALL_LIST else large
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part"))
+    small = rows.join(listed, same, "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    order = ["turn", "role", "_start", "_hash"]
+    dealt = rows.join(listed, same, "left_semi").withColumns({"_start": F.substring("text", 1, 100), "_hash": F.xxhash64("text")})
+    dealt = materialised(dealt.repartitionByRange(*part, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    numbered = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_range", *part).orderBy(*order)))
+    before = F.sum("count").over(Window.partitionBy(part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = dealt.groupBy("_range", *part).count().withColumn("_before", F.coalesce(before, F.lit(0)))
+    offsets = offsets.select(F.col("_range").alias("_at"), F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), "_before")
+    placed = numbered.join(offsets, same & (F.col("_range") == F.col("_at")))
+    piece = F.floor((F.col("_before") + F.col("_n") - 1) / PART_TURNS)
+    return small.unionByName(placed.select(*rows.columns, piece.alias("piece")))
+
+
 def transcripts_of(conversations: DataFrame) -> DataFrame:
-    """`conv_id, part, turns, transcript`: the turns of `conversations(conv_id, turn, role, text)` in order, as one
-    text in which a fifth of the turns has lost its speaker marker.
+    """`conv_id, part, piece, turns, transcript`: the turns of `conversations(conv_id, turn, role, text)` in order, as
+    one text in which a fifth of the turns has lost its speaker marker.
 
-    A conversation is written in parts of `PART_TURNS` turn numbers, so that no row grows without bound.
-    Equal rows count once; turns of one number stand in order of role and text. Null texts are empty, a null
-    turn stands first; a null conversation id is a conversation of its own.
+    A conversation is written in parts of `PART_TURNS` turn numbers, and these in pieces of as many rows, so
+    that no row grows without bound. Equal rows count once; turns of one number stand in order of role and
+    text. Null texts are empty, a null turn stands first; a null conversation id is a conversation of its own.
     """
-    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    part = F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(0)).alias("part")
+    rows = conversations.select("conv_id", part, "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    rows = in_pieces(materialised(rows, "turns"))
     style = F.pmod(F.xxhash64(F.lit(11), "conv_id"), F.lit(len(STYLES)))
     names = F.lit([list(s) for s in STYLES])[style.cast("int")]
     place = F.when(F.col("role") == "system", 0).when(F.col("role") == "assistant", 2).otherwise(1)
     silent = F.pmod(F.xxhash64(F.lit(13), "conv_id", "turn"), F.lit(5)) == 0
     line = F.concat(F.when(silent, "").otherwise(F.element_at(names, place + 1)), "text")
-    part = F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(0)).alias("part")
-    turns = rows.select("conv_id", part, F.struct("turn", "role", "text", line.alias("line")).alias("t"))
-    grouped = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turns = rows.select("conv_id", "part", "piece", F.struct("turn", "role", "text", line.alias("line")).alias("t"))
+    grouped = turns.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     return grouped.withColumn("transcript", F.array_join(F.transform("turns", lambda t: t["line"]), "\n\n"))
 
 
 def formatted_conversations(conversations: DataFrame) -> DataFrame:
-    """`conv_id, part, held_out, n_turns, n_found, n_right, rendered`: the transcripts of `conversations`, parsed
+    """`conv_id, part, piece, held_out, n_turns, n_found, n_right, rendered`: the transcripts of `conversations`, parsed
     without their role column by a model trained on the others four fifths of the conversations.
 
     `n_right` counts the turns found at their place with their role and text. Empty tables give an empty
@@ -218,4 +249,4 @@ def formatted_conversations(conversations: DataFrame) -> DataFrame:
     found = rows.withColumn("found", parsed(F.col("transcript"), model))
     same = F.zip_with("turns", "found", lambda a, b: (a["role"] == b["role"]) & (F.trim(a["text"]) == F.trim(b["text"])))
     right = F.size(F.filter(same, lambda s: F.coalesce(s, F.lit(False))))
-    return found.select("conv_id", "part", "held_out", F.size("turns").alias("n_turns"), F.size("found").alias("n_found"), right.alias("n_right"), canonical(F.col("found")).alias("rendered"))
+    return found.select("conv_id", "part", "piece", "held_out", F.size("turns").alias("n_turns"), F.size("found").alias("n_found"), right.alias("n_right"), canonical(F.col("found")).alias("rendered"))

@@ -198,3 +198,16 @@ def test_a_crowded_source_leaves_the_rules_of_others(spark):
     pages = spark.createDataFrame(list(enumerate([*urls, "http://other.io/rare", "http://other.io/t3", "http://other.io/new"])), "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judged_pages(pages, URL_RULES).collect()}
     assert [got[60], got[61], got[62]] == ["block", "block", "allow"]
+
+
+@pytest.mark.parametrize("listed", [10_000, 0])
+def test_crowded_parts_are_cut_by_rows(spark, monkeypatch, listed):
+    monkeypatch.setattr(chat_format, "SMALL_LIST", listed)
+    rows = [(1, k % 8, "user", f"text {k}") for k in range(1300)] + [(None, None, None, f"text {k}") for k in range(700)] + [(2, 3, "user", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.transcripts_of(table).collect()
+    assert max(len(r["turns"]) for r in got) <= chat_format.PART_TURNS
+    assert sorted((r["conv_id"] or 0, r["part"], r["piece"]) for r in got) == [(0, 0, 0), (0, 0, 1), (1, 0, 0), (1, 0, 1), (1, 0, 2), (2, 0, 0)]
+    one = [t for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["piece"]) for t in r["turns"]]
+    assert [(t["turn"], t["text"]) for t in one] == sorted((k, t) for _, k, _, t in rows[:1300])
+    assert sum(r["n_turns"] for r in chat_format.formatted_conversations(table).collect()) == len(rows)
