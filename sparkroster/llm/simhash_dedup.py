@@ -177,21 +177,27 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay: of each group the smallest id, and of rows alike in id one; rows with a
-    null id stay, as nothing names them. All columns are kept. Groups are those of `near_groups`."""
-    groups = near_groups(docs)
-    lowest = groups.groupBy("root").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
-    kept = docs.join(lowest, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of `docs` that stay: of each group of `near_groups` the one of the smallest id (of rows alike in
+    it the smallest hash), and one of its rows with a null id, as nothing names those. All columns are kept;
+    rows of one id with unlike texts belong to groups of their own."""
+    first = near_groups(docs).groupBy("root", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    first = first.select(F.col("first.row").alias("_kept"))
+    kept = docs.withColumn("_row", row_hash(docs)).join(first, F.col("_row") == F.col("_kept"), "left_semi")
+    return kept.dropDuplicates(["_row"]).drop("_row")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; null and empty texts have unlike ones."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """`doc_id, row, root` for every row of `docs(doc_id, text, ...)`, `row` a hash of id and text: rows have one
-    root where links connect them. Texts link whose sets of five-word shingles have a Jaccard similarity of
+    """`doc_id, row, root` for every row of `docs(doc_id, text, ...)`, `row` its `row_hash`: rows have one root
+    where links connect them. Texts link whose sets of five-word shingles have a Jaccard similarity of
     0.8 or more, and those that `simhash_groups` links."""
     from .shingle_sets import alike_edges, marks
 
-    row = F.xxhash64("doc_id", "text").alias("row")
+    row = row_hash(docs).alias("row")
     marked = docs.select("doc_id", row, fingerprint(F.col("text")).alias("print"), marks(F.col("text")).alias("mark"))
     marked = materialised(marked.select("doc_id", "row", "print", "mark.*"), "marks")
     nodes = materialised(marked.groupBy("node").agg(*[F.min(c).alias(c) for c in ("row", "print", "low", "high", "keys")]), "nodes")

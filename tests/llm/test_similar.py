@@ -186,3 +186,10 @@ def test_near_copies_on_five_word_shingles_go(spark, monkeypatch, limit):
     assert sorted(r["doc_id"] for r in one_of_each_group(docs).collect()) == sorted(want)
     assert len(want) < len({r["component_id"] for r in simhash_groups(docs).collect()})
     assert one_of_each_group(docs.limit(0)).collect() == []
+
+
+def test_unlike_texts_of_one_id_stay_and_copies_without_id_go(spark):
+    one, other, third = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    rows = [(1, one, "x"), (1, other, "x"), (1, other, "y"), (2, other, "x"), (0, third, "x"), (1, third, "x"), (None, one, "x"), (None, one, "y")]
+    kept = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept) == [(-1, one), (0, third), (1, one), (1, other)]
