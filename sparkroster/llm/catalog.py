@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroid_clusters import cluster_report
 from .chat_format import formatted_conversations
 from .common import ship_package, table
 from .decontaminate import contamination
@@ -14,6 +15,7 @@ from .embedding_dedup import near_vectors
 from .quality import quality
 from .sentencepiece_codec import round_trips
 from .simhash_dedup import simhash_groups
+from .substring_dedup import repeats_removed
 from .token_counts import token_counts
 from .token_output import token_files
 from .toxicity import toxicity
@@ -144,3 +146,69 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 @query("op7_url_filter")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_pages(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+REPEATS_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS phrase
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM texts)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, i) AS k FROM places) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM texts
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op11_substring_dedup", REPEATS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_removed(table(spark, sf_dir, "documents"))
+
+
+def _round_sql(n: int) -> str:
+    """Centroids after one more round, in exact whole numbers."""
+    return f"""
+), near{n} AS (
+  SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster FROM (
+    SELECT v.vec_id, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{n} AS c USING (i) GROUP BY v.vec_id, c.cluster
+  ) GROUP BY vec_id
+), c{n + 1} AS (
+  SELECT cluster, i, coalesce(m.x, c.x) AS x FROM c{n} AS c LEFT JOIN (
+    SELECT cluster, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+    FROM v JOIN near{n} USING (vec_id) GROUP BY cluster, i
+  ) AS m USING (cluster, i)"""
+
+
+CLUSTERS_SQL = f"""
+WITH v AS (
+  SELECT vec_id, i, CAST(floor(64 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings
+    WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0)
+), c0 AS (
+  SELECT cluster, i, x FROM v JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM (SELECT DISTINCT vec_id FROM v)
+  ) USING (vec_id) WHERE cluster < 16{_round_sql(0)}{_round_sql(1)}{_round_sql(2)}
+), near AS (
+  SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, CAST(min(d) AS BIGINT) AS distance FROM (
+    SELECT v.vec_id, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c3 AS c USING (i) GROUP BY v.vec_id, c.cluster
+  ) GROUP BY vec_id
+), digests AS (
+  SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY cluster
+)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near JOIN digests USING (cluster)
+"""
+
+
+@query("op12_centroid_clusters", CLUSTERS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(table(spark, sf_dir, "embeddings"))
