@@ -12,6 +12,7 @@ from .chat_format import formatted_conversations
 from .common import ship_package, table
 from .decontaminate import contamination
 from .embedding_dedup import near_vectors
+from .prefix_trie import trie_report
 from .quality import quality
 from .sentencepiece_codec import round_trips
 from .simhash_dedup import simhash_groups
@@ -212,3 +213,47 @@ FROM near JOIN digests USING (cluster)
 @query("op12_centroid_clusters", CLUSTERS_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+TRIE_SQL = """
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, n, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, x: CASE WHEN x = -1 THEN xor(s >> 1, 3988292384 * (s & 1)) ELSE xor(s, x) END)) % 6 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id)
+), given AS (
+  SELECT c.*, least(h, coalesce(b.n, 0)) AS d0 FROM convs AS c LEFT JOIN (SELECT conv_id AS base, n FROM convs) AS b USING (base)
+), turns AS (
+  SELECT g.conv_id, pos AS depth, role, text FROM given AS g JOIN own ON own.conv_id = g.base AND pos <= h
+  UNION ALL
+  SELECT conv_id, pos - h + d0, role, text FROM given JOIN own USING (conv_id) WHERE pos > h
+), rebuilt AS (
+  SELECT conv_id, coalesce(t, []) AS t FROM convs LEFT JOIN (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY depth) AS t FROM turns GROUP BY conv_id
+  ) USING (conv_id)
+), prefixes AS (
+  SELECT conv_id, d, t[1:d] AS prefix, d = len(t) AS ends FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY prefix, d
+), kids AS (
+  SELECT prefix[1:d - 1] AS prefix, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY ALL
+), above AS (
+  SELECT prefix[1:k] AS prefix, sum(leaf) AS leaves, sum(own) AS saved FROM (
+    SELECT prefix, unnest(range(0, d + 1)) AS k, CAST(kids IS NULL AS BIGINT) AS leaf, (n - 1) * coalesce(length(prefix[d].text), 0) AS own
+    FROM nodes LEFT JOIN kids USING (prefix)
+  ) GROUP BY ALL
+)
+SELECT nodes.conv_id, d AS depth, up.conv_id AS parent_conv_id, n AS n_convs, coalesce(kids, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM nodes JOIN above USING (prefix) LEFT JOIN kids USING (prefix)
+LEFT JOIN (SELECT prefix AS parent, conv_id FROM nodes) AS up ON d > 0 AND up.parent = prefix[1:d - 1]
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_report(table(spark, sf_dir, "conversations"))
