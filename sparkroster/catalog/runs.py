@@ -9,6 +9,7 @@ from sparkroster import operators as op
 from sparkroster.catalog.base import iso_sql, query, table, work_dir
 from sparkroster.functions import iso_time
 from sparkroster.streaming import (
+    closed_outcomes_stream,
     run_outcomes_stream,
     unstarted_outcomes_stream,
     write_outcomes,
@@ -201,6 +202,39 @@ def run_outcomes_stream_unstarted(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH r AS (
+      SELECT user_id, min(ts) AS start, min(ts) FILTER (event_type = 'purchase') AS ok_at,
+             min(ts) FILTER (event_type = 'error') AS bad_at
+      FROM events GROUP BY user_id),
+    d AS (SELECT *, CASE WHEN least(ok_at, bad_at) <= start + INTERVAL {TIMEOUT} SECOND
+                    THEN least(ok_at, bad_at) END AS decided FROM r)
+    SELECT user_id::VARCHAR AS run_id, {iso_sql("start")} AS start_time,
+           CASE WHEN decided IS NULL THEN 'timeout' WHEN ok_at = decided THEN 'succeeded' ELSE 'failed' END
+             AS outcome, coalesce({iso_sql("decided")}, 'N/A') AS decided_at
+    FROM d WHERE start + INTERVAL {TIMEOUT} SECOND
+      < (SELECT max(ts) FROM events) - INTERVAL {DELAY} SECOND"""
+)
+def run_outcomes_stream_by_run(spark, sf_dir):
+    """One run per user, without a start in any sample: a row per run, however often it falls silent."""
+    schema = table(spark, sf_dir, "events").schema
+    events = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    )
+    outcomes = closed_outcomes_stream(
+        _samples(events, F.col("user_id"), F.lit(None)), TIMEOUT, DELAY
+    )
+    path = work_dir(spark, "by-run")
+    write_outcomes(outcomes, f"{path}/table", f"{path}/checkpoint", True).awaitTermination()
+    closed = spark.read.schema(outcomes.schema).parquet(f"{path}/table")
+    return closed.select(
+        "run_id",
+        iso_time("start_time").alias("start_time"),
+        "outcome",
+        iso_time("decided_at").alias("decided_at"),
+    )
+
+
 _SHIP_TIMEOUT, _SHIP_DELAY = 90 * 86400, 43200
 
 

@@ -1,5 +1,6 @@
 """Structured Streaming operators."""
 
+from sparkroster.streaming.closing import closed_outcomes_stream
 from sparkroster.streaming.outcomes import run_outcomes_stream, unstarted_outcomes_stream, write_outcomes
 
-__all__ = ["run_outcomes_stream", "unstarted_outcomes_stream", "write_outcomes"]
+__all__ = ["closed_outcomes_stream", "run_outcomes_stream", "unstarted_outcomes_stream", "write_outcomes"]

@@ -6,7 +6,7 @@ import pytest
 from sparkroster import operators as op
 from sparkroster.schemas import RUN_LOGS, RUN_SAMPLES
 from sparkroster.session import work_dir
-from sparkroster.streaming import run_outcomes_stream, write_outcomes
+from sparkroster.streaming import closed_outcomes_stream, run_outcomes_stream, write_outcomes
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -172,6 +172,55 @@ def test_stream_with_starts_equals_batch(spark):
     assert got == batch_runs(spark, rows)
 
 
+def silent_runs(seed):
+    """Unstarted runs that fall silent for far longer than their timeout and come back, some several times."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(80):
+        second = rnd.randrange(1_000, 30_000)
+        for _ in range(rnd.randrange(1, 4)):
+            for _ in range(rnd.randrange(1, 6)):
+                p = rnd.random()
+                rows.append((f"r{i}", None, second, 1, int(p < 0.15), int(0.15 < p < 0.3)))
+                second += rnd.randrange(0, 700)
+            second += rnd.randrange(3_000, 9_000)
+    # A started run too: the start of a sample that is not the first one counts.
+    rows += [("begun", s, t, 0, int(t == 21_700), 0) for s, t in ((21_150, 21_200), (21_100, 21_300), (21_150, 21_700))]
+    rows.sort(key=lambda r: r[2] + rnd.randrange(0, 250))
+    return rows + [("last", None, 90_000, 1, 0, 0)]
+
+
+@pytest.mark.parametrize("size", [40, 1_000])
+def test_stream_by_run_equals_batch_through_long_silences(spark, size):
+    rows, path = silent_runs(size), work_dir(spark, "silences")
+    write_parts(lambda part: samples(spark, part), rows, f"{path}/in", size)
+    stream = (
+        spark.readStream.schema(RUN_SAMPLES).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    )
+    got = closed_runs(spark, closed_outcomes_stream(stream, timeout_s=600, delay_s=2_000), path)
+    assert got == batch_runs(spark, rows)
+    assert {o for o, _ in got.values()} == {"succeeded", "failed", "timeout"}
+    assert got["begun"] == ("succeeded", at(21_700))
+
+
+def test_closed_runs_stay_closed_after_a_restart(spark):
+    """The stream is stopped and started again from its checkpoint between two files."""
+    path = work_dir(spark, "restart")
+    first = [("a", None, 1_000, 1, 0, 0), ("b", None, 4_900, 1, 0, 0), ("clock", None, 9_000, 1, 0, 0)]
+    later = [("a", None, 9_500, 0, 1, 0), ("b", None, 9_600, 0, 0, 1), ("c", None, 9_700, 0, 1, 0), ("clock", None, 30_000, 0, 0, 0)]
+
+    def run():
+        stream = spark.readStream.schema(RUN_SAMPLES).parquet(f"{path}/in")
+        out = closed_outcomes_stream(stream, timeout_s=600, delay_s=10)
+        write_outcomes(out, f"{path}/out", f"{path}/check", available_now=True).awaitTermination()
+        return sorted((r.run_id, r.outcome) for r in spark.read.schema(out.schema).parquet(f"{path}/out").collect())
+
+    write_parts(lambda part: samples(spark, part), first, f"{path}/in", 9)
+    assert run() == [("a", "timeout"), ("b", "timeout")]
+    write_parts(lambda part: samples(spark, part), later, f"{path}/in", 9)
+    assert run() == [("a", "timeout"), ("b", "timeout"), ("c", "succeeded"), ("clock", "timeout")]
+
+
 def test_tail(spark):
     rows = []
     for run, pod, container, n in (
