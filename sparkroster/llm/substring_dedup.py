@@ -2,7 +2,8 @@
 
 Every task hashes all windows of its texts and packs them by bucket, so that Spark shuffles long rows of few bytes
 a window. A bucket holds a share of all hash values; the windows of one value meet in it, and all but the first
-are repeats. The repeats of a text, put together, give maximal intervals of words to remove.
+are repeats. These are packed by bucket of documents in the same way; the repeats of a text, put together, give
+maximal intervals of words to remove.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ REPEATS_AT_ONCE = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 BASES = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 PACKED = "bucket int, firsts binary, repeats binary"
-FOUND = "doc long, part long, starts array<int>"
+FOUND = "bucket int, found binary"
+STARTS = "doc long, part long, starts array<int>"
+#: Buckets of windows for each bucket of documents.
+WINDOW_BUCKETS = 4
 
 
 def _mixed(values: np.ndarray, salt: int) -> np.ndarray:
@@ -175,30 +179,50 @@ def repeats_of(hashes: np.ndarray, docs: np.ndarray, parts: np.ndarray, places:
     return some[~itself]
 
 
-def _grouped(found: list[list[np.ndarray]]) -> pa.RecordBatch:
-    docs, parts, places = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((places, parts, docs))
-    docs, parts, places = docs[order], parts[order], places[order]
-    new = np.flatnonzero(np.r_[True, (np.diff(docs) != 0) | (np.diff(parts) != 0)])
-    starts = pa.ListArray.from_arrays(pa.array(np.r_[new, len(docs)].astype(np.int32)), pa.array(places.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(docs[new]), pa.array(parts[new]), starts], names=["doc", "part", "starts"])
+class _Repeats:
+    """Finds the repeats in each bucket of windows and packs them by bucket of documents."""
 
+    def __init__(self, n_buckets: int) -> None:
+        self.bits = n_buckets.bit_length() - 1
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: list[list[np.ndarray]] = []
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list[np.ndarray]] = []
+        for rows, run in whole_runs(batches, ("bucket",), 1):
+            firsts, repeats = rows["firsts"].combine_chunks(), rows["repeats"].combine_chunks()
+            bounds = np.r_[np.flatnonzero(np.diff(run, prepend=-1)), len(run)]
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                docs, parts, places, hashes = (np.concatenate(c) for c in zip(*(unpacked(x.as_py()) for x in firsts[a:b]), strict=True))
+                later = repeats_of(hashes, docs, parts, places)
+                found.append([docs[later], parts[later], places[later]])
+                found += [unpacked(x.as_py())[:3] for x in repeats[a:b] if x.is_valid]
+                if sum(len(f[0]) for f in found) >= REPEATS_AT_ONCE:
+                    yield self.rows(found)
+                    found = []
+        if any(len(f[0]) for f in found):
+            yield self.rows(found)
+
+    def rows(self, found: list[list[np.ndarray]]) -> pa.RecordBatch:
+        docs, parts, places = (np.concatenate(c) for c in zip(*found, strict=True))
+        bucket = (_mixed(docs.view(np.uint64) ^ parts.view(np.uint64), BASES[0]) >> np.uint64(64 - self.bits)).astype(np.int32)
+        order = np.lexsort((places, parts, docs, bucket))
+        numbers, starts = np.unique(bucket[order], return_index=True)
+        none = np.empty(0, np.uint64)
+        data = [packed(*(c[order[a:b]] for c in (docs, parts, places.view(np.uint64))), none) for a, b in zip(starts, [*starts[1:], len(order)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(data, pa.binary())], names=["bucket", "found"])
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of a bucket, with the places of all its repeats."""
     for rows, run in whole_runs(batches, ("bucket",), 1):
-        firsts, repeats = rows["firsts"].combine_chunks(), rows["repeats"].combine_chunks()
+        data = rows["found"].combine_chunks()
         bounds = np.r_[np.flatnonzero(np.diff(run, prepend=-1)), len(run)]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            docs, parts, places, hashes = (np.concatenate(c) for c in zip(*(unpacked(x.as_py()) for x in firsts[a:b]), strict=True))
-            later = repeats_of(hashes, docs, parts, places)
-            found.append([docs[later], parts[later], places[later]])
-            found += [unpacked(x.as_py())[:3] for x in repeats[a:b] if x.is_valid]
-            if sum(len(f[0]) for f in found) >= REPEATS_AT_ONCE:
-                yield _grouped(found)
-                found = []
-    if any(len(f[0]) for f in found):
-        yield _grouped(found)
+            docs, parts, places, _ = (np.concatenate(c) for c in zip(*(unpacked(x.as_py()) for x in data[a:b]), strict=True))
+            order = np.lexsort((places, parts, docs))
+            docs, parts, places = docs[order], parts[order], places[order]
+            new = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (parts[1:] != parts[:-1])])
+            starts = pa.ListArray.from_arrays(pa.array(np.r_[new, len(docs)].astype(np.int32)), pa.array(places.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(docs[new]), pa.array(parts[new]), starts], names=["doc", "part", "starts"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -217,12 +241,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def window_repeats(rows: DataFrame, size: int) -> DataFrame:
-    """`doc, part, starts` of `keyed` rows: the places, in words, of windows that also start earlier. A document has
-    several rows; those without such a window have none."""
+    """`doc, part, starts` of `keyed` rows: the places, in words, of windows that also start earlier; a row for each
+    document that has one."""
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_buckets = max(LEAST_BUCKETS, 1 << (total // BUCKET_BYTES).bit_length())
     windows = rows.select("doc", "part", "text").mapInArrow(_Windows(size, n_buckets), PACKED)
-    return windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, FOUND)
+    found = windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_Repeats(n_buckets // WINDOW_BUCKETS), FOUND)
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_starts, STARTS)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("past", T.IntegerType())]))
@@ -273,8 +298,7 @@ def without_repeats(docs: DataFrame, size: int = WORDS) -> DataFrame:
     shuffled once, to meet their repeats.
     """
     rows = keyed(docs)
-    found = window_repeats(rows, size).groupBy("doc", "part").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    joined = rows.join(found, ["doc", "part"], "left")
+    joined = rows.join(window_repeats(rows, size), ["doc", "part"], "left")
     return joined.select("doc_id", _cut(F.col("text"), F.col("starts"), size).alias("cut")).select("doc_id", "cut.*")
 
 
