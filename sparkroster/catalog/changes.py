@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkroster import operators as op
-from sparkroster.catalog.base import query, string_map, table
+from sparkroster.catalog.base import REGISTRY, query, string_map, table, work_dir
 from sparkroster.catalog.inventory import INV, _by_segment, _by_segment_sql, inventory
 from sparkroster.functions import physical_name
-from sparkroster.schemas import empty_map
+from sparkroster.schemas import ENTRY_KEY, empty_map
+from sparkroster.sources import change_partitions, change_stored, create_partitioned, store
+from sparkroster.streaming import apply_change_stream, stream_results
 
 
 def _user(c: str):
@@ -267,6 +271,11 @@ def upsert_labels_results(spark, sf_dir):
     FROM base b FULL JOIN new n ON n.o_orderkey = b.o_orderkey"""
 )
 def write_if_changed(spark, sf_dir):
+    base, new = _order_versions(spark, sf_dir)
+    return _order_actions(op.write_if_changed(base, new, ["o_orderkey"]))
+
+
+def _order_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders")
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     data = string_map(status=status, priority=priority)
@@ -280,7 +289,11 @@ def write_if_changed(spark, sf_dir):
     new = orders.where(F.col("o_orderdate") >= "1997-01-01").select(
         "o_orderkey", changed.alias("data")
     )
-    return op.write_if_changed(base, new, ["o_orderkey"]).select(
+    return base, new
+
+
+def _order_actions(written: DataFrame) -> DataFrame:
+    return written.select(
         "o_orderkey",
         F.col("data")["status"].alias("status"),
         F.col("data")["priority"].alias("priority"),
@@ -418,3 +431,127 @@ def apply_changes_by_time(spark, sf_dir):
     timed = log.join(times, "seq").withColumn("seq", F.col("_at")).drop("_at")
     done = op.apply_changes(_accounts(spark, sf_dir), timed)
     return done.results.select("name", "applied", "rejected", "noop", "invalid", "present")
+
+
+def _reuse(of) -> str:
+    return REGISTRY[of.__name__].sql
+
+
+def _stored(spark: SparkSession, df: DataFrame, key=ENTRY_KEY) -> tuple[str, str]:
+    """Name and folder of a new stored table."""
+    name, folder = f"stored_{uuid.uuid4().hex[:12]}", work_dir(spark, "stored")
+    store(df, name, BUCKETS, key, folder)
+    return name, folder
+
+
+def _changed_in_place(spark, sf_dir, change, changes=None) -> str:
+    changes = _order_changes(spark, sf_dir) if changes is None else changes
+    name, folder = _stored(spark, _accounts(spark, sf_dir))
+    change_stored(spark, name, change, changes, folder=folder)
+    return name
+
+
+BUCKETS = 16
+
+
+@query(_reuse(create_if_absent))
+def create_if_absent_stored(spark, sf_dir):
+    """Into a table stored in buckets of its key: the table as shown after the change."""
+    return _shown(spark.table(_changed_in_place(spark, sf_dir, op.create_if_absent)))
+
+
+@query(_reuse(replace_existing))
+def replace_existing_stored(spark, sf_dir):
+    return _shown(spark.table(_changed_in_place(spark, sf_dir, op.replace_existing)))
+
+
+@query(_reuse(merge_patch))
+def merge_patch_stored(spark, sf_dir):
+    return _shown(spark.table(_changed_in_place(spark, sf_dir, op.merge_patch_existing)))
+
+
+@query(_reuse(delete_if_present))
+def delete_if_present_stored(spark, sf_dir):
+    keys = _low_keys(spark, sf_dir)
+    return spark.table(_changed_in_place(spark, sf_dir, op.delete_if_present, keys)).select("name")
+
+
+@query(_reuse(write_if_changed))
+def write_if_changed_stored(spark, sf_dir):
+    """Against a stored base, read bucket by bucket."""
+    base, new = _order_versions(spark, sf_dir)
+    name, _ = _stored(spark, base, ("o_orderkey",))
+    stored = spark.table(name)
+    return _order_actions(op.write_if_changed(stored, new, ["o_orderkey"], buckets=BUCKETS))
+
+
+def _by_nation(df: DataFrame) -> DataFrame:
+    """Accounts in a namespace for each nation, which the table is partitioned by."""
+    return df.withColumn("namespace", F.concat(F.lit("nation-"), F.coalesce(df["data"]["nation"], F.lit("none"))))
+
+
+@query(
+    """WITH acc AS (
+      SELECT 'user-' || c_custkey AS name, c_nationkey AS nation, c_mktsegment AS segment, c_custkey
+      FROM customer WHERE c_acctbal >= 0)
+    SELECT 'nation-' || nation AS namespace, name,
+           CASE WHEN nation % 5 = 0 THEN lower(segment) ELSE segment END AS segment
+    FROM acc WHERE nation % 5 <> 1"""
+)
+def patch_and_empty_partitions(spark, sf_dir):
+    """A log over the nations: a fifth is patched, a fifth deleted to the last row, the rest left as it lies."""
+    path = work_dir(spark, "partitions") + "/table"
+    base = _by_nation(_accounts(spark, sf_dir))
+    create_partitioned(base, path)
+    nation = F.col("data")["nation"].cast("int") % 5
+    segment = F.create_map(F.lit("segment"), F.lower(F.col("data")["segment"]))
+    log = base.where(nation <= 1).select(
+        "kind",
+        "namespace",
+        "name",
+        F.lit(1).cast("long").alias("seq"),
+        F.when(nation == 0, "patch").otherwise("delete").alias("op"),
+        F.when(nation == 0, segment).otherwise(empty_map()).alias("data"),
+    )
+    table_now = spark.read.schema(base.schema).parquet(path)
+    change_partitions(table_now, path, "nations", op.apply_changes, log)
+    left = spark.read.schema(base.schema).parquet(path)
+    return left.select("namespace", "name", F.col("data")["segment"].alias("segment"))
+
+
+def _log_as_files(spark: SparkSession, sf_dir: str, path: str, n: int = 3) -> DataFrame:
+    """The event log as files in order of ``seq``, read as a stream of one file at a time."""
+    log = _event_log(spark, sf_dir)
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    for i in range(n):
+        low, high = last * i // n, last * (i + 1) // n
+        at = F.col("seq")
+        part = log.where((at <= high) & ((at > low) if i else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _applied_as_stream(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    path = work_dir(spark, "change-stream")
+    base = _accounts(spark, sf_dir)
+    create_partitioned(base, f"{path}/table")
+    log = _log_as_files(spark, sf_dir, f"{path}/log")
+    apply_change_stream(
+        log, f"{path}/table", base.schema, f"{path}/checkpoint", available_now=True
+    ).awaitTermination()
+    return f"{path}/table", spark.read.schema(base.schema).parquet(f"{path}/table")
+
+
+@query(_reuse(apply_changes))
+def apply_change_stream_table(spark, sf_dir):
+    """The log of :func:`apply_changes` in three micro-batches: the same table."""
+    _, done = _applied_as_stream(spark, sf_dir)
+    data = F.col("data")
+    names = {"segment": "segment", "signup": "signup", "purchase": "purchase", "view": "viewed", "click": "click", "last": "last"}
+    return done.select("name", *[data[k].alias(c) for k, c in names.items()])
+
+
+@query(f"WITH {LOG} SELECT name, applied, rejected, noop, 0::BIGINT AS invalid FROM state")
+def apply_change_stream_results(spark, sf_dir):
+    path, _ = _applied_as_stream(spark, sf_dir)
+    return stream_results(spark, path).select("name", "applied", "rejected", "noop", "invalid")

@@ -4,6 +4,10 @@ Each function takes at most one change per key (the lowest ``seq`` when there ar
 an ordered log with many changes per key goes through :mod:`.changelog`) and returns the
 new table together with one result row per change. A requested ``name`` counts in lower
 case. Plain Parquet has no atomic merge: write the new table to a new path.
+
+``buckets`` says that the base is a table stored in that many buckets of its key (see
+:mod:`sparkroster.sources.stored`): the changes are then dealt out in the same way and the
+base is read where it lies, whatever its size.
 """
 
 from __future__ import annotations
@@ -35,6 +39,12 @@ def by_lower_name(changes: DataFrame, key: Sequence[str]) -> DataFrame:
     return changes.withColumn("name", F.lower("name")) if "name" in key else changes
 
 
+def beside(changes: DataFrame, key: Sequence[str], buckets: int | None) -> DataFrame:
+    """Changes in the partitions of a base that is stored in ``buckets`` of its key. They are
+    one row per key by then, so that a key with very many changes does not meet in a task."""
+    return changes.repartition(buckets, *key) if buckets else changes
+
+
 def whole_key(key: Sequence[str]) -> Column:
     """No part of the key is null."""
     whole = F.lit(True)
@@ -59,12 +69,16 @@ def first_change(changes: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def _results(
-    base: DataFrame, changes: DataFrame, key: Sequence[str], status: Column
+    base: DataFrame,
+    changes: DataFrame,
+    key: Sequence[str],
+    status: Column,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Result rows; ``status`` may use ``_present`` and ``_first`` next to the change."""
+    wanted = changes.groupBy(*key).agg(F.min("seq").alias("_first_seq"))
     known = (
-        changes.groupBy(*key)
-        .agg(F.min("seq").alias("_first_seq"))
+        beside(wanted, key, buckets)
         .join(base.select(*key, F.lit(True).alias("_present")), list(key), "left")
         .withColumn("_present", F.coalesce("_present", F.lit(False)))
     )
@@ -86,30 +100,44 @@ def _fill(df: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def create_if_absent(
-    base: DataFrame, changes: DataFrame, key: Sequence[str] = ENTRY_KEY
+    base: DataFrame,
+    changes: DataFrame,
+    key: Sequence[str] = ENTRY_KEY,
+    buckets: int | None = None,
 ) -> Changed:
     """Insert rows whose key is new. A taken key, also by an earlier change, is a conflict."""
     changes, invalid = sort_out(by_lower_name(changes, key), key)
-    new = first_change(changes, key).join(base.select(*key), list(key), "left_anti")
+    new = beside(first_change(changes, key), key, buckets)
+    if buckets:
+        # An anti join would be moved below the reduction, and the base be shuffled to meet it.
+        taken = base.select(*key, F.lit(True).alias("_taken"))
+        new = new.join(taken, list(key), "left").where("_taken IS NULL").drop("_taken")
+    else:
+        new = new.join(base.select(*key), list(key), "left_anti")
     table = base.unionByName(_fill(new.withColumn("data", drop_nulls(or_empty("data"))), base))
     status = F.when(F.col("_present") | ~F.col("_first"), CONFLICT).otherwise("created")
-    return Changed(table, _results(base, changes, key, status).unionByName(invalid))
+    return Changed(table, _results(base, changes, key, status, buckets).unionByName(invalid))
 
 
-def _with_change(base: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
-    new = first_change(changes, key).select(
+def _with_change(
+    base: DataFrame, changes: DataFrame, key: Sequence[str], buckets: int | None
+) -> DataFrame:
+    new = beside(first_change(changes, key), key, buckets).select(
         *key, F.col("data").alias("_new"), F.lit(True).alias("_matched")
     )
     return base.join(new, list(key), "left")
 
 
 def replace_existing(
-    base: DataFrame, changes: DataFrame, key: Sequence[str] = ENTRY_KEY
+    base: DataFrame,
+    changes: DataFrame,
+    key: Sequence[str] = ENTRY_KEY,
+    buckets: int | None = None,
 ) -> Changed:
     """Replace the whole data of rows that exist; an absent key is missing."""
     changes, invalid = sort_out(by_lower_name(changes, key), key)
     table = (
-        _with_change(base, changes, key)
+        _with_change(base, changes, key, buckets)
         .withColumn(
             "data",
             F.when(F.col("_matched"), drop_nulls(or_empty("_new"))).otherwise(F.col("data")),
@@ -119,16 +147,19 @@ def replace_existing(
     status = (
         F.when(~F.col("_present"), "missing").when(~F.col("_first"), SKIPPED).otherwise("replaced")
     )
-    return Changed(table, _results(base, changes, key, status).unionByName(invalid))
+    return Changed(table, _results(base, changes, key, status, buckets).unionByName(invalid))
 
 
 def merge_patch_existing(
-    base: DataFrame, changes: DataFrame, key: Sequence[str] = ENTRY_KEY
+    base: DataFrame,
+    changes: DataFrame,
+    key: Sequence[str] = ENTRY_KEY,
+    buckets: int | None = None,
 ) -> Changed:
     """Merge a patch into rows that exist: values set, nulls remove, other keys stay."""
     changes, invalid = sort_out(by_lower_name(changes, key), key)
     table = (
-        _with_change(base, changes, key)
+        _with_change(base, changes, key, buckets)
         .withColumn(
             "data",
             F.when(F.size(or_empty("_new")) > 0, merge_patch("data", "_new")).otherwise(
@@ -143,10 +174,12 @@ def merge_patch_existing(
         .when(~F.col("_first"), SKIPPED)
         .otherwise("patched")
     )
-    return Changed(table, _results(base, changes, key, status).unionByName(invalid))
+    return Changed(table, _results(base, changes, key, status, buckets).unionByName(invalid))
 
 
-def upsert_labels(inventory: DataFrame, changes: DataFrame, insert: bool = True) -> Changed:
+def upsert_labels(
+    inventory: DataFrame, changes: DataFrame, insert: bool = True, buckets: int | None = None
+) -> Changed:
     """Insert namespaces, or merge labels and annotations into those that exist.
 
     A null map leaves its side alone, and rows that no change names stay as they are; a null
@@ -155,7 +188,7 @@ def upsert_labels(inventory: DataFrame, changes: DataFrame, insert: bool = True)
     """
     key = ("namespace",)
     changes, invalid = sort_out(changes, key)
-    new = first_change(changes, key).select(
+    new = beside(first_change(changes, key), key, buckets).select(
         "namespace",
         F.col("labels").alias("_labels"),
         F.col("annotations").alias("_annotations"),
@@ -183,17 +216,20 @@ def upsert_labels(inventory: DataFrame, changes: DataFrame, insert: bool = True)
         .when(F.col("_present"), "patched")
         .otherwise("created")
     )
-    return Changed(table, _results(inventory, changes, key, status).unionByName(invalid))
+    return Changed(table, _results(inventory, changes, key, status, buckets).unionByName(invalid))
 
 
 def delete_if_present(
-    base: DataFrame, keys: DataFrame, key: Sequence[str] = ENTRY_KEY
+    base: DataFrame,
+    keys: DataFrame,
+    key: Sequence[str] = ENTRY_KEY,
+    buckets: int | None = None,
 ) -> Changed:
     """Remove rows by key; an absent key is a success of its own kind.
 
     One result row per distinct key; a key with a null part is invalid.
     """
-    wanted = by_lower_name(keys, key).select(*key).distinct()
+    wanted = beside(by_lower_name(keys, key).select(*key).distinct(), key, buckets)
     table = base.join(wanted, list(key), "left_anti")
     present = base.select(*key, F.lit(True).alias("_present"))
     results = wanted.join(present, list(key), "left").select(
@@ -206,7 +242,9 @@ def delete_if_present(
     return Changed(table, results)
 
 
-def write_if_changed(base: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
+def write_if_changed(
+    base: DataFrame, incoming: DataFrame, key: Sequence[str], buckets: int | None = None
+) -> DataFrame:
     """The merged table with the action per row: created, updated, unchanged or kept.
 
     Rows equal in every column are unchanged, so a sink may skip them; rows only in the
@@ -223,7 +261,7 @@ def write_if_changed(base: DataFrame, incoming: DataFrame, key: Sequence[str]) -
     for c in values:
         same = same & seen("_b", c).eqNullSafe(seen("_i", c))
     old = base.withColumn("_in_base", F.lit(True)).alias("_b")
-    new = incoming.withColumn("_in_new", F.lit(True)).alias("_i")
+    new = beside(incoming, key, buckets).withColumn("_in_new", F.lit(True)).alias("_i")
     joined = old.join(new, list(key), "full_outer")
     action = (
         F.when(F.col("_in_new").isNull(), "kept")
