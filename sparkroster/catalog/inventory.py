@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkroster import operators as op
-from sparkroster.catalog.base import dash_sql, iso_sql, query, string_map, table
+from sparkroster.catalog.base import REGISTRY, dash_sql, iso_sql, query, string_map, table
 from sparkroster.functions import physical_name
 from sparkroster.schemas import labels_from_columns
 
@@ -616,3 +616,53 @@ def drop_projects_removed(spark, sf_dir):
 def drop_projects_results(spark, sf_dir):
     _, _, results = op.drop_projects(inventory(spark, sf_dir), _requests(spark, sf_dir))
     return results
+
+
+@query(REGISTRY["resolve_names"].sql)
+def resolve_names_narrowed(spark, sf_dir):
+    """With the inventory filtered by the requested names in its scan."""
+    out = op.resolve_names(_requests(spark, sf_dir), inventory(spark, sf_dir), narrow=True)
+    return out.select("request_id", "project_id", "status")
+
+
+@query(REGISTRY["name_owner"].sql)
+def name_owner_narrowed(spark, sf_dir):
+    out = op.name_owner(_requests(spark, sf_dir), inventory(spark, sf_dir), narrow=True)
+    return out.select("request_id", "owner_id", "taken", "multi_owner")
+
+
+@query(REGISTRY["resolve_environments"].sql)
+def resolve_environments_narrowed(spark, sf_dir):
+    out = op.resolve_environments(_requests(spark, sf_dir), inventory(spark, sf_dir), narrow=True)
+    return out.select("request_id", "project_id", "namespace", "status")
+
+
+def _state_after_a_change(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """The inventory as it was before names changed, environments came and whole projects went; the
+    state of the change; and the state after it."""
+    now = inventory(spark, sf_dir)
+    key = F.xxhash64("namespace")
+    renamed, fresh = F.pmod(key, F.lit(5)) == 0, F.pmod(key, F.lit(7)) == 0
+    ghosts = now.where(F.pmod(key, F.lit(11)) == 0).withColumns(
+        {"project_id": F.concat("project_id", F.lit("-gone")), "namespace": F.concat("namespace", F.lit("-gone"))}
+    )
+    old = now.withColumn("project_name", F.when(renamed, "old").otherwise(F.col("project_name")))
+    before = old.where(~fresh).unionByName(ghosts)
+    gone = before.where(F.col("project_id").endswith("-gone") | renamed)
+    change = op.state_change(gone, now.where(renamed | fresh))
+    return before, change, op.merged_state(op.report_state(before), change)
+
+
+@query(PROJECT_SUMMARY_SQL)
+def project_summary_refreshed(spark, sf_dir):
+    """The summary of before, with only the projects that a change touches computed anew."""
+    before, change, state = _state_after_a_change(spark, sf_dir)
+    out = op.refreshed(op.project_summary(before), state, change, op.project_summary)
+    return out.withColumn("environment_names", op.environments_text())
+
+
+@query(REGISTRY["inconsistent_pairs"].sql)
+def inconsistent_pairs_refreshed(spark, sf_dir):
+    """From the state of before and that of the change."""
+    *_, state = _state_after_a_change(spark, sf_dir)
+    return op.inconsistent_pairs(op.as_inventory(state))

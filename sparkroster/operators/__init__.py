@@ -12,6 +12,7 @@ from sparkroster.operators.change import (
 )
 from sparkroster.operators.changelog import apply_changes
 from sparkroster.operators.create import create_environments, create_projects
+from sparkroster.operators.narrow import narrowed, possibly_in
 from sparkroster.operators.report import (
     apply_counts,
     apply_tally,
@@ -45,12 +46,22 @@ from sparkroster.operators.select import (
     list_entries,
     scope_filter,
 )
+from sparkroster.operators.upkeep import (
+    added_up,
+    as_inventory,
+    merged_state,
+    refreshed,
+    report_state,
+    state_change,
+)
 
 __all__ = [
     "Changed",
+    "added_up",
     "apply_changes",
     "apply_counts",
     "apply_tally",
+    "as_inventory",
     "check_delete_targets",
     "check_parents",
     "classify_exit",
@@ -69,18 +80,24 @@ __all__ = [
     "label_select",
     "list_entries",
     "merge_patch_existing",
+    "merged_state",
     "name_owner",
+    "narrowed",
     "only_named",
+    "possibly_in",
     "project_counts",
     "project_environment_rows",
     "project_environments",
     "project_summary",
+    "refreshed",
     "rename_projects",
     "replace_existing",
+    "report_state",
     "resolve_environments",
     "resolve_names",
     "run_outcomes",
     "scope_filter",
+    "state_change",
     "tail_lines",
     "upsert_labels",
     "write_if_changed",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkroster.constants import REPO_URL_ANNOTATION
 from sparkroster.functions import physical_name
+from sparkroster.operators.narrow import narrowed, possibly_in
 from sparkroster.operators.skew import key_counts, lookup
 
 OK = "ok"
@@ -67,9 +68,19 @@ def _with_index(requests: DataFrame, inventory: DataFrame, name: str) -> DataFra
 
 
 def resolve_names(
-    requests: DataFrame, inventory: DataFrame, name: str = "project_name"
+    requests: DataFrame,
+    inventory: DataFrame,
+    name: str = "project_name",
+    narrow: bool = False,
 ) -> DataFrame:
-    """Requests with (project_id, status); the id is given only when it is the only one."""
+    """Requests with (project_id, status); the id is given only when it is the only one.
+
+    With ``narrow`` the requested names are counted and a Bloom filter of them is applied in
+    the scan of the inventory, so that the rows shuffled follow the requests; for requests
+    that name a small part of a huge inventory, yet too many for a broadcast.
+    """
+    if narrow:
+        inventory = narrowed(inventory, requests, name)
     found = _with_index(requests, inventory, name)
     status = resolution_status(F.col("_id_min"), F.col("_id_max"))
     return found.select(
@@ -80,9 +91,15 @@ def resolve_names(
 
 
 def name_owner(
-    requests: DataFrame, inventory: DataFrame, name: str = "project_name"
+    requests: DataFrame,
+    inventory: DataFrame,
+    name: str = "project_name",
+    narrow: bool = False,
 ) -> DataFrame:
-    """Requests with (owner_id, taken, multi_owner): any non-empty id takes the name."""
+    """Requests with (owner_id, taken, multi_owner): any non-empty id takes the name. For
+    ``narrow`` see :func:`resolve_names`."""
+    if narrow:
+        inventory = narrowed(inventory, requests, name)
     found = _with_index(requests, inventory, name)
     return found.select(
         *[F.col(c) for c in requests.columns],
@@ -105,12 +122,19 @@ def resolve_environments(
     inventory: DataFrame,
     name: str = "project_name",
     environment: str = "environment",
+    narrow: bool = False,
 ) -> DataFrame:
-    """Requests with (project_id, namespace, status) of the named environment."""
-    named = resolve_names(requests, inventory, name).withColumn(
+    """Requests with (project_id, namespace, status) of the named environment.
+
+    With ``narrow`` the inventory is filtered in its scan twice, by requested names and by
+    the namespaces that these give; see :func:`resolve_names`.
+    """
+    named = resolve_names(requests, inventory, name, narrow).withColumn(
         "_ns", physical_name("project_id", F.lower(F.col(environment)))
     )
     known = inventory.select(F.col("namespace").alias("_ns"), F.lit(True).alias("_there"))
+    if narrow:
+        known = possibly_in(known, "_ns", named.select("_ns"), requests.count())
     status = (
         F.when(F.col("status") != OK, "project_not_found")
         .when(F.col("_there").isNull(), "environment_not_found")
