@@ -6,7 +6,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_128_digest
 
 from .common import new_folder, ragged, text_chunks
+from .workers import held, thrifty
 
 ENCODED_BYTES = 6 << 20
-CACHED_WORDS = 250_000
-CACHED_CHARS = 48
+CACHED_WORDS = 1_000_000
+CACHED_BYTES = 64
+WORDS_AT_ONCE, JOINED = 20_000, 500
 LAYOUT = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -33,12 +35,39 @@ LAYOUT = {
 }
 
 
+class _Known:
+    """Ids of words by a hash of 128 bits: sorted hashes, and where each word's ids stand in a pool."""
+
+    def __init__(self, kind: type) -> None:
+        self.high, self.low = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.pool = np.empty(0, kind)
+
+    def find(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.high):
+            return np.full(len(high), -1)
+        at = np.minimum(np.searchsorted(self.high, high), len(self.high) - 1)
+        return np.where((self.high[at] == high) & (self.low[at] == low), at, -1)
+
+    def add(self, high: np.ndarray, low: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Words that it does not have; of two with one high half the first stays, as the cache may forget any."""
+        high, first = np.unique(high, return_index=True)
+        fresh = self.high[np.minimum(np.searchsorted(self.high, high), len(self.high) - 1)] != high if len(self.high) else np.ones(len(high), bool)
+        high, first = high[fresh], first[fresh]
+        starts = np.cumsum(sizes) - sizes + len(self.pool)
+        at = np.searchsorted(self.high, high)
+        self.high, self.low = np.insert(self.high, at, high), np.insert(self.low, at, low[first])
+        self.starts, self.sizes = np.insert(self.starts, at, starts[first]), np.insert(self.sizes, at, sizes[first])
+        self.pool = np.concatenate([self.pool, ids])
+
+
 class WordEncoder:
     """Encodes whole texts with the tokenizers library, each distinct blank-separated stretch once.
 
     The tokenizer drops white space before it merges, so no token crosses an ASCII blank and the ids of a
-    text are those of its stretches, one after the other. Stretches not seen of late go to the library as
-    one text, kept apart by an added token, whose id then marks their ends.
+    text are those of its stretches, one after the other. Stretches not seen of late go to the library
+    joined by blanks; a token belongs to the stretch in which its characters stand.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,69 +75,80 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def library_ids(self, words: list[str]) -> list[bytes]:
-        if not self.added or any(t in w for t in self.added for w in words):
-            made = self.tokenizer.encode_batch(words, add_special_tokens=False)
-            return [np.array(e.ids, np.uint32).tobytes() for e in made]
-        mark, mark_id = next(iter(self.added.items()))
-        made = self.tokenizer.encode_batch([mark.join(words[i : i + 500]) for i in range(0, len(words), 500)], add_special_tokens=False)
-        out: list[bytes] = []
-        for e in made:
-            ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(ids == mark_id)
-            data = ids.tobytes()
-            starts, ends = np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist()
-            out += [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
-        return out
-
-    def look_up(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as 32-bit integers. Short words are remembered for a while; the bound on how
-        many only costs or spares time."""
-        found = [self.recent.get(w) for w in words]
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        for i in missing:
-            found[i] = self.older.get(words[i])
-        new = [i for i in missing if found[i] is None]
-        for i, ids in zip(new, self.library_ids([words[i] for i in new]), strict=True):
-            found[i] = ids
-        if len(self.recent) + len(missing) > CACHED_WORDS:
-            self.recent, self.older = {}, self.recent
-        self.recent.update((words[i], found[i]) for i in missing if len(words[i]) <= CACHED_CHARS)
-        return found
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.recent, self.older = _Known(self.kind), _Known(self.kind)
+
+    def library_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids one after the other."""
+        sizes, flat = [np.empty(0, np.int64)], [np.empty(0, self.kind)]
+        for first in range(0, len(words), WORDS_AT_ONCE):
+            some = words[first : first + WORDS_AT_ONCE]
+            lists = [some[i : i + JOINED] for i in range(0, len(some), JOINED)]
+            made = self.tokenizer.encode_batch([" ".join(x) for x in lists], add_special_tokens=False)
+            for part, e in zip(lists, made, strict=True):
+                ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+                begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+                sizes.append(np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(part)))
+                flat.append(np.array(e.ids, self.kind))
+        return np.concatenate(sizes), np.concatenate(flat)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids. Short words are remembered for a while; the bound on
+        how many only costs or spares time."""
+        # The tokenizer lowers case; doing it first lets words share their ids. Other letters may compose with marks.
+        words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        data = words.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+        high, low = np.frombuffer(b"".join(map(xxh3_128_digest, data)), "<u8").reshape(-1, 2).T.copy()
+        sizes, pools, starts, base = np.zeros(len(words), np.int64), [], np.zeros(len(words), np.int64), 0
+        missing = np.arange(len(words))
+        for known in (self.recent, self.older):
+            at = known.find(high[missing], low[missing])
+            here, at = missing[at >= 0], at[at >= 0]
+            sizes[here], starts[here] = known.sizes[at], base + np.cumsum(known.sizes[at]) - known.sizes[at]
+            pools.append(known.pool[ragged(known.starts[at].astype(np.int64), known.sizes[at].astype(np.int64))])
+            base += len(pools[-1])
+            missing = np.setdiff1d(missing, here, assume_unique=True)
+            if known is self.recent:
+                again = missing
+        _, one, same = np.unique(high[missing], return_index=True, return_inverse=True)
+        if not np.array_equal(low[missing], low[missing[one]][same]):
+            one, same = np.arange(len(missing)), np.arange(len(missing))
+        n, ids = self.library_ids(words.take(pa.array(missing[one])).to_numpy(zero_copy_only=False).tolist())
+        sizes[missing], starts[missing] = n[same], (base + np.cumsum(n) - n)[same]
+        pool = np.concatenate([*pools, ids])
+        short = again[pc.binary_length(words).to_numpy(zero_copy_only=False)[again] <= CACHED_BYTES]
+        if len(self.recent.high) + len(short) > CACHED_WORDS:
+            self.recent, self.older = _Known(self.kind), self.recent
+        self.recent.add(high[short], low[short], sizes[short], pool[ragged(starts[short], sizes[short])])
+        return sizes, pool[ragged(starts, sizes)]
 
     def encode(self, texts: pa.Array, end_id: int | None) -> pa.Array:
         """One list of ids for each text of a large string array without nulls."""
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        ids = self.look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist())
-        tail = [] if end_id is None else [np.array([end_id], np.uint32).tobytes()]
-        pool = np.frombuffer(b"".join([*ids, *tail]), np.uint32)
-        sizes = np.fromiter((len(x) // 4 for x in [*ids, *tail]), np.int64, len(ids) + len(tail))
-        starts = np.cumsum(sizes) - sizes
+        sizes, pool = self.look_up(words.dictionary)
         codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        if tail:
-            codes = np.insert(codes, np.cumsum(per_text), len(ids))
+        if end_id is not None:
+            pool, sizes = np.r_[pool, np.array([end_id], self.kind)], np.r_[sizes, 1]
+            codes = np.insert(codes, np.cumsum(per_text), len(sizes) - 1)
             per_text = per_text + 1
+        starts = np.cumsum(sizes) - sizes
         ends = np.r_[0, np.cumsum(sizes[codes])]
         bounds = ends[np.r_[0, np.cumsum(per_text)]]
         values = pool[ragged(starts[codes], sizes[codes])].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 def token_ids(text: Column, path: str, end_id: int | None) -> Column:
     """The ids of a text column as `array<int>`, `end_id` last unless it is None."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @thrifty
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(path)
         for texts in batches:
