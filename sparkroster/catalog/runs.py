@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkroster import operators as op
-from sparkroster.catalog.base import iso_sql, query, table, work_dir
+from sparkroster.catalog.base import REGISTRY, iso_sql, query, table, work_dir
 from sparkroster.functions import iso_time
 from sparkroster.streaming import (
     closed_outcomes_stream,
     run_outcomes_stream,
+    tail_lines_stream,
+    tails_of,
     unstarted_outcomes_stream,
     write_outcomes,
 )
@@ -293,6 +295,13 @@ def run_outcomes_stream_joined(spark, sf_dir):
     WHERE rn <= CASE WHEN conv_id IN (SELECT conv_id FROM bad) THEN 1 ELSE 2 END"""
 )
 def tail_lines(spark, sf_dir):
+    logs, outcomes = _logs(spark, sf_dir)
+    out = op.tail_lines(logs, outcomes, n_ok=2, n_failed=1)
+    return out.select("run_id", "pod", "line_no", "line")
+
+
+def _logs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Conversations as logs, a role being a pod, and outcomes by their length."""
     conv = table(spark, sf_dir, "conversations")
     logs = conv.select(
         F.col("conv_id").cast("string").alias("run_id"),
@@ -306,8 +315,28 @@ def tail_lines(spark, sf_dir):
     outcomes = conv.groupBy(F.col("conv_id").cast("string").alias("run_id")).agg(
         F.when(F.max("turn") > 5, "failed").otherwise("succeeded").alias("outcome")
     )
-    out = op.tail_lines(logs, outcomes, n_ok=2, n_failed=1)
-    return out.select("run_id", "pod", "line_no", "line")
+    return logs, outcomes
+
+
+@query(REGISTRY["tail_lines"].sql)
+def tail_lines_streamed(spark, sf_dir):
+    """The same tails from a stream of the lines; a last line of another run moves the clock on."""
+    logs, outcomes = _logs(spark, sf_dir)
+    path = work_dir(spark, "tails")
+    # The clock of a stream starts at zero, and lines as old as that would be late.
+    logs = logs.withColumn("ts", F.timestamp_add("DAY", F.lit(1), F.col("ts")))
+    logs.write.parquet(f"{path}/logs")
+    later = F.timestamp_seconds(F.lit(10**7))
+    clock = logs.agg(F.count("*").alias("n")).select(
+        F.lit("clock").alias("run_id"), F.lit("p").alias("pod"), F.lit("main").alias("container"), F.lit(0).alias("container_index"),
+        later.alias("ts"), F.lit(0).cast("long").alias("line_no"), F.lit("").alias("line"),
+    )
+    clock.write.mode("append").parquet(f"{path}/logs")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/logs")
+    tails = tail_lines_stream(stream, quiet_s=3600, delay_s=3600, n=2)
+    write_outcomes(tails, f"{path}/table", f"{path}/checkpoint", True).awaitTermination()
+    closed = spark.read.schema(tails.schema).parquet(f"{path}/table")
+    return tails_of(closed, outcomes, 2, 1).select("run_id", "pod", "line_no", "line")
 
 
 @query(

@@ -6,7 +6,13 @@ import pytest
 from sparkroster import operators as op
 from sparkroster.schemas import RUN_LOGS, RUN_SAMPLES
 from sparkroster.session import work_dir
-from sparkroster.streaming import closed_outcomes_stream, run_outcomes_stream, write_outcomes
+from sparkroster.streaming import (
+    closed_outcomes_stream,
+    run_outcomes_stream,
+    tail_lines_stream,
+    tails_of,
+    write_outcomes,
+)
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -250,6 +256,34 @@ def test_tail(spark):
     }
 
 
+def test_streamed_tails_equal_the_batch(spark):
+    """Lines of several pods and containers, late by less than the delay, in many files."""
+    rnd, rows = random.Random(6), []
+    for i in range(30):
+        second = rnd.randrange(1_000, 20_000)
+        for n in range(rnd.randrange(1, 60)):
+            pod, container = f"p{rnd.randrange(3)}", rnd.choice([0, 0, 0, 1])
+            rows.append((f"r{i}", pod, f"c{container}", container, at(second), n, f"{pod} {n}"))
+            second += rnd.randrange(0, 40)
+    # A run that holds most lines, one whose latest pod has no line in its first container, one without a pod.
+    rows += [("hot", "p1", "c0", 0, at(2_000 + i), i, f"hot {i}") for i in range(900)]
+    rows += [("odd", "p1", "c0", 0, at(2_000), 1, "x"), ("odd", "p2", "c1", 1, at(2_001), 2, "y"), ("none", None, "c0", 0, at(2_000), 1, "z")]
+    rows.sort(key=lambda r: (r[4] - T0).total_seconds() + rnd.randrange(0, 250))
+    outcomes = spark.createDataFrame([(f"r{i}", rnd.choice(["failed", "succeeded"])) for i in range(30)] + [("hot", "timeout")], "run_id string, outcome string")
+    path = work_dir(spark, "tails")
+    clock = [("clock", "p", "c0", 0, at(90_000), 0, "")]
+    write_parts(lambda part: spark.createDataFrame(part, RUN_LOGS), rows + clock, f"{path}/in", 250)
+    stream = spark.readStream.schema(RUN_LOGS).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    tails = tail_lines_stream(stream, quiet_s=3_000, delay_s=300, n=30)
+    write_outcomes(tails, f"{path}/out", f"{path}/check", available_now=True).awaitTermination()
+    closed = spark.read.schema(tails.schema).parquet(f"{path}/out")
+    columns = ["run_id", "pod", "ts", "line_no", "line"]
+    got = tails_of(closed, outcomes, 30, 12).select(columns)
+    logs = spark.createDataFrame([r for r in rows if r[1] is not None], RUN_LOGS)
+    want = op.tail_lines(logs, outcomes, 30, 12).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_exit_codes(spark):
     df = spark.createDataFrame([(c,) for c in (1, 126, 127, 137, 0, 2, None)], "exit_code int")
     got = {r.exit_code: (r.exit_action, r.exit_reason) for r in op.classify_exit(df).collect()}
