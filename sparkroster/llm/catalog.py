@@ -20,7 +20,7 @@ from .substring_dedup import repeats_removed
 from .token_counts import token_counts
 from .token_output import token_files
 from .toxicity import toxicity
-from .url_filter import judged_pages
+from .url_filter import judged_pages, listed_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -149,6 +149,31 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_pages(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+LISTED_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, coalesce(rest, '') AS rest FROM parts)
+), rules(verdict, whose, below) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), rows AS (
+  SELECT *, row_number() OVER () AS r FROM split
+), best AS (
+  SELECT r, arg_max({'rule': whose || below, 'verdict': verdict}, length(whose || below)) AS b
+  FROM rows JOIN rules ON (host = whose OR ends_with(host, '.' || whose)) AND starts_with(path, below) GROUP BY r
+)
+SELECT page_id, host, path, b.rule AS rule, b.verdict AS listed FROM rows LEFT JOIN best USING (r)
+"""
+
+
+@query("listed_pages", LISTED_SQL)
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the list of op7 says on every page, before any rule is mined."""
+    return listed_pages(table(spark, sf_dir, "pages"), URL_RULES).drop("url")
+
+
 REPEATS_SQL = r"""
 WITH texts AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents

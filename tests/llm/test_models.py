@@ -200,6 +200,20 @@ def test_a_crowded_source_leaves_the_rules_of_others(spark):
     assert [got[60], got[61], got[62]] == ["block", "block", "allow"]
 
 
+@pytest.mark.parametrize("small", [10_000, 0])
+def test_shared_segments_do_not_multiply(spark, monkeypatch, small):
+    """Forty segments that a source's URLs share: mining ends, and any one of them decides as before. Also with
+    classes and rules joined by shuffles."""
+    monkeypatch.setattr(url_filter, "SMALL_LIST", small)
+    shared = "/".join(f"t{k:02}" for k in range(40))
+    urls = [f"http://hot.net/{shared}/{k}" for k in range(40)] + [f"http://x.org/fr/{k}" for k in range(40)] + ["http://x.org/fr/t05"]
+    unlisted = ["http://other.io/t39", "http://other.io/t05", "http://other.io/fr", "http://other.io/t05/fr", "http://other.io/new", None]
+    pages = spark.createDataFrame(list(enumerate([*urls, *unlisted])), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judged_pages(pages, URL_RULES).collect()}
+    # `fr` holds for all its pages (41), so it is stronger than `t05`, which holds for 40 of 41.
+    assert [got[len(urls) + k] for k in range(6)] == ["block", "block", "allow", "allow", "allow", "allow"]
+
+
 @pytest.mark.parametrize("listed", [10_000, 0])
 def test_crowded_parts_are_cut_by_rows(spark, monkeypatch, listed):
     monkeypatch.setattr(chat_format, "SMALL_LIST", listed)
