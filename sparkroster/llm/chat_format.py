@@ -72,12 +72,13 @@ class RoleModel:
             out += [self.emit[k].get((s, value), self.unseen[k]) for s in range(len(out))]
         return out
 
-    def states(self, seen: list[tuple[str, ...]]) -> list[int]:
-        """The likeliest states of the lines, by Viterbi; of equals the lowest numbers."""
+    def states(self, seen: list[tuple[str, ...]], entry: int | None = None, leave: int | None = None) -> list[int]:
+        """The likeliest states of the lines, by Viterbi; of equals the lowest numbers. `entry` is the state of the
+        line before them, if there is one, and `leave` that of the last line, if it is known."""
         if not seen:
             return []
         known: dict[tuple[str, ...], np.ndarray] = {}
-        best = self.first + self.line(seen[0])
+        best = (self.first if entry is None else self.move[entry]) + self.line(seen[0])
         back = []
         for line in seen[1:]:
             if line not in known:
@@ -85,16 +86,30 @@ class RoleModel:
             ways = best[:, None] + self.move
             back.append(ways.argmax(axis=0))
             best = ways.max(axis=0) + known[line]
-        path = [int(best.argmax())]
+        path = [int(best.argmax()) if leave is None else leave]
         for step in reversed(back):
             path.append(int(step[path[-1]]))
         return path[::-1]
 
 
-def parse(text: str, model: RoleModel) -> list[tuple[str, str]]:
-    """`(role, text)` of each turn of a transcript, markers taken off; blank lines around a turn are not its own."""
-    lines = re.split(r"\r\n|\n|\r", text)
-    states = iter(model.states(line_features(lines)))
+    def passage(self, seen: list[tuple[str, ...]]) -> np.ndarray:
+        """Best scores of the lines by the state of the line before them (last row: there is none) and of the last."""
+        scores = np.vstack([self.move, self.first])
+        for i, line in enumerate(seen):
+            scores = scores if not i else (scores[:, :, None] + self.move).max(axis=1)
+            scores = scores + self.line(line)
+        return scores
+
+
+def lines_of(text: str) -> list[str]:
+    return re.split(r"\r\n|\n|\r", text)
+
+
+def parse(text: str, model: RoleModel, entry: int | None = None, leave: int | None = None) -> list[tuple[str, str]]:
+    """`(role, text)` of each turn of a transcript, markers taken off; blank lines around a turn are not its own.
+    For `entry` and `leave` see `RoleModel.states`."""
+    lines = lines_of(text)
+    states = iter(model.states(line_features(lines), entry, leave))
     turns: list[tuple[str, list[str]]] = []
     for line in lines:
         if not line.strip():
@@ -172,16 +187,75 @@ def train_roles(transcripts: DataFrame) -> RoleModel:
 TURNS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
 
 
-def parsed(text: Column, model: RoleModel) -> Column:
-    """`array<struct<role, text>>` of a transcript column; empty for null and blank texts."""
+def parsed(text: Column, model: RoleModel, entry: Column | None = None, leave: Column | None = None) -> Column:
+    """`array<struct<role, text>>` of a transcript column; empty for null and blank texts. `entry` and `leave` are columns
+    with the states around and at the end of a part of a longer transcript, null where not known."""
 
     @F.arrow_udf(TURNS)
-    def turns(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def turns(texts: pa.Array, before: pa.Array, last: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
-        for texts in batches:
-            yield pa.array([[{"role": r, "text": t} for r, t in parse(x, model)] for x in texts.to_pylist()], kind)
+        rows = zip(texts.to_pylist(), before.to_pylist(), last.to_pylist(), strict=True)
+        return pa.array([[{"role": r, "text": t} for r, t in parse(x, model, a, b)] for x, a, b in rows], kind)
+
+    none = F.lit(None).cast("int")
+    return turns.asNondeterministic()(F.coalesce(text, F.lit("")), none if entry is None else entry, none if leave is None else leave)
+
 
-    return turns.asNondeterministic()(F.coalesce(text, F.lit("")))
+AROUND = "part long, piece long, entry int, leave int"
+
+
+def part_states(parts: DataFrame, model: RoleModel) -> DataFrame:
+    """`conv_id, part, piece, entry, leave` for `parts(conv_id, part, piece, transcript)` of conversations that have several:
+    the states before the first and at the last line of each, as Viterbi over the whole conversation has them.
+
+    Every part becomes a small matrix, its best scores by the states around it. The matrices of a conversation
+    pass one after the other through a task, which keeps six numbers of each for the way back."""
+    size = 2 * len(ROLES)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def passages(texts: pa.Array) -> pa.Array:
+        rows = [model.passage(line_features(lines_of(x))) if x.strip() else np.empty((0, size)) for x in texts.to_pylist()]
+        ends = np.cumsum([0, *(r.size for r in rows)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0), *(r.ravel() for r in rows)])))
+
+    kind = parts.schema["conv_id"].dataType.simpleString()
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, best, held = None, None, []
+
+        def settled() -> pa.RecordBatch:
+            out, leave = [], None if best is None else int(best.argmax())
+            for part, piece, back in reversed(held):
+                entry = None if back is None or leave is None else int(back[leave])
+                entry = None if entry is None or entry == size else entry
+                out.append((part, piece, entry, leave if back is not None else None))
+                leave = leave if back is None else entry
+            columns = list(zip(*reversed(out), strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            ids = pa.array([conv] * len(out), schema)
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["conv_id", "part", "piece", "entry", "leave"])
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema.field("conv_id").type
+            for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "piece")), batch.column("scores"), strict=True):
+                if held and row[0] != conv:
+                    yield settled()
+                    best, held = None, []
+                conv, part, piece, scores = row
+                matrix = scores.values.to_numpy().reshape(-1, size)
+                if not len(matrix):
+                    held.append((part, piece, None))
+                    continue
+                ways = matrix[-1:] if best is None else best[:, None] + matrix[:-1]
+                held.append((part, piece, np.full(size, size, np.int8) if best is None else ways.argmax(axis=0).astype(np.int8)))
+                best = ways.max(axis=0)
+        if held:
+            yield settled()
+
+    rows = parts.select("conv_id", "part", "piece", passages.asNondeterministic()("transcript").alias("scores"))
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece")
+    return rows.mapInArrow(chained, f"conv_id {kind}, {AROUND}")
 
 
 def canonical(turns: Column) -> Column:
@@ -204,8 +278,9 @@ def in_pieces(rows: DataFrame) -> DataFrame:
     listed = F.broadcast(large) if n_large <= SMALL_LIST else large
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part"))
     small = rows.join(listed, same, "left_anti").withColumn("piece", F.lit(0).cast("long"))
-    order = ["turn", "role", "_start", "_hash"]
-    dealt = rows.join(listed, same, "left_semi").withColumns({"_start": F.substring("text", 1, 100), "_hash": F.xxhash64("text")})
+    # Rows alike in all else are told apart by a running number, so that they too can be dealt out.
+    order = ["turn", "role", "_start", "_hash", "_row"]
+    dealt = rows.join(listed, same, "left_semi").withColumns({"_start": F.substring("text", 1, 100), "_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
     dealt = materialised(dealt.repartitionByRange(*part, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     numbered = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_range", *part).orderBy(*order)))
     before = F.sum("count").over(Window.partitionBy(part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
@@ -221,11 +296,11 @@ def transcripts_of(conversations: DataFrame) -> DataFrame:
     one text in which a fifth of the turns has lost its speaker marker.
 
     A conversation is written in parts of `PART_TURNS` turn numbers, and these in pieces of as many rows, so
-    that no row grows without bound. Equal rows count once; turns of one number stand in order of role and
-    text. Null texts are empty, a null turn stands first; a null conversation id is a conversation of its own.
+    that no row grows without bound. Repeated rows are turns like any other; turns of one number stand in order
+    of role and text. Null texts are empty, a null turn stands first; a null conversation id is a conversation of its own.
     """
     part = F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(0)).alias("part")
-    rows = conversations.select("conv_id", part, "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    rows = conversations.select("conv_id", part, "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     rows = in_pieces(materialised(rows, "turns"))
     style = F.pmod(F.xxhash64(F.lit(11), "conv_id"), F.lit(len(STYLES)))
     names = F.lit([list(s) for s in STYLES])[style.cast("int")]
@@ -241,12 +316,26 @@ def formatted_conversations(conversations: DataFrame) -> DataFrame:
     """`conv_id, part, piece, held_out, n_turns, n_found, n_right, rendered`: the transcripts of `conversations`, parsed
     without their role column by a model trained on the others four fifths of the conversations.
 
-    `n_right` counts the turns found at their place with their role and text. Empty tables give an empty
-    result, and a table without a turn outside the held-out fold an untrained model.
+    Parts of a long conversation are parsed as one chain of states: each starts from the state that the part before
+    it ends in. `n_right` counts the turns found at their place with their role and text. Very long texts are
+    worked on whole, a part in a task. Empty tables give an empty result, and a table without a turn
+    outside the held-out fold an untrained model.
     """
     rows = transcripts_of(conversations).withColumn("held_out", F.pmod(F.xxhash64(F.lit(17), "conv_id"), F.lit(5)) == 0)
+    rows = materialised(rows, "transcripts")
     model = train_roles(rows.where("NOT held_out"))
-    found = rows.withColumn("found", parsed(F.col("transcript"), model))
+    several = rows.groupBy("conv_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("conv_id").alias("_conv"))
+    several = materialised(several, "long-conversations")
+    none = F.lit(None).cast("int")
+    if several.isEmpty():
+        placed = rows.withColumns({"entry": none, "leave": none})
+    else:
+        same = F.col("conv_id").eqNullSafe(F.col("_conv"))
+        parts = rows.select("conv_id", "part", "piece", "transcript").join(several, same, "left_semi")
+        around = part_states(parts, model).withColumnsRenamed({c: f"_{c}" for c in ("conv_id", "part", "piece")})
+        at = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("part") == F.col("_part")) & (F.col("piece") == F.col("_piece"))
+        placed = rows.join(around, at, "left").drop("_conv_id", "_part", "_piece")
+    found = placed.withColumn("found", parsed(F.col("transcript"), model, F.col("entry"), F.col("leave")))
     same = F.zip_with("turns", "found", lambda a, b: (a["role"] == b["role"]) & (F.trim(a["text"]) == F.trim(b["text"])))
     right = F.size(F.filter(same, lambda s: F.coalesce(s, F.lit(False))))
     return found.select("conv_id", "part", "piece", "held_out", F.size("turns").alias("n_turns"), F.size("found").alias("n_found"), right.alias("n_right"), canonical(F.col("found")).alias("rendered"))

@@ -174,6 +174,43 @@ def test_viterbi_finds_the_likeliest_path():
         assert total(model.states(seen)) == pytest.approx(total(best))
 
 
+def test_parts_of_a_chain_have_the_states_of_the_whole(spark):
+    source = np.random.default_rng(8)
+    size = 2 * len(chat_format.ROLES)
+    first, move = np.log(source.dirichlet(np.ones(size))), np.log(source.dirichlet(np.ones(size) / 2, size) + 1e-9)
+    tables = [np.log(source.random((size, 8))) for _ in chat_format.FEATURES]
+    values = [("none", "user", "other", "system", "assistant"), ("True", "False"), ("True", "False"), tuple("0123456"), ("True", "False")]
+    model = chat_format.RoleModel(first, move, tuple({(s, v): t[s, i] for s in range(size) for i, v in enumerate(vs)} for t, vs in zip(tables, values, strict=True)), (-9.0,) * 5)
+    rows, whole = [], {}
+    for conv in [None, 3, 4]:
+        lines = ["".join(source.choice(list("ab? Q:")) for _ in range(source.integers(1, 30))) + "x" for _ in range(60)]
+        # A part without any line, in the middle.
+        cuts = [0, 7, 8, 30, 30, 60]
+        whole[conv] = chat_format.line_features([y for x in lines for y in ("", x)])
+        rows += [(conv, i // 2, i % 2, "\n\n".join(lines[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    parts = spark.createDataFrame(rows, "conv_id long, part long, piece long, transcript string")
+    around = {(r["conv_id"], r["part"], r["piece"]): (r["entry"], r["leave"]) for r in chat_format.part_states(parts, model).collect()}
+    assert len(around) == len(rows)
+    for conv in whole:
+        found = []
+        for c, part, piece, text in rows:
+            if c == conv:
+                found += model.states(chat_format.line_features(["", *chat_format.lines_of(text)]), *around[c, part, piece])
+        # Paths of equal score may differ, as sums are rounded in another order.
+        score = {}
+        for name, path in (("parts", found), ("whole", model.states(whole[conv]))):
+            score[name] = first[path[0]] + sum(move[a, b] for a, b in itertools.pairwise(path)) + sum(model.line(seen)[s] for s, seen in zip(path, whole[conv], strict=True))
+        assert score["parts"] == pytest.approx(score["whole"], abs=1e-9)
+
+
+def test_repeated_turns_are_turns(spark):
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes")] + [(2, 5, "user", "same")] * 700
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.formatted_conversations(table).collect()
+    assert sum(r["n_turns"] for r in got) == len(rows)
+    assert max(r["n_turns"] for r in got) <= chat_format.PART_TURNS
+
+
 def test_roles_of_held_out_conversations(spark):
     rows = QUERIES["op5_chat_format"](spark, SMALL).where("held_out").agg(F.sum("n_turns"), F.sum("n_right")).first()
     assert rows[1] / rows[0] > 0.95
