@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import in_fold, labelled_sample, materialised, text_chunks
+from .workers import held, thrifty
 
 MAX_ROWS = 20_000
-MAX_CANDIDATES = 4_000
-MAX_TERMS = 400
-MAX_PHRASES = 400
+#: Least weight of a candidate, and of its weight times the root of its toxic documents: rarer terms must weigh more.
+LEAST_WEIGHT, LEAST_EVIDENCE = 2.0, 8.0
 STEM_SIZES = (4, 5, 6, 7, 8)
 LEAST_DOCS = 4
 COVERS = 5
@@ -129,15 +129,28 @@ def _document_counts(sample: DataFrame, of: object) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             per_label = (Counter(), Counter())
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                per_label[1 if y == 1 else 0].update(of(folded_words(text)))
+            for y, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                per_label[1 if y == 1 else 0].update(of(words))
             terms = sorted(per_label[0].keys() | per_label[1].keys())
             yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "toxic": pa.array([per_label[1][t] for t in terms], pa.int64()), "other": pa.array([per_label[0][t] for t in terms], pa.int64())})
 
-    rows = sample.select("y", "text").mapInArrow(counted, "term string, toxic long, other long")
+    rows = sample.mapInArrow(counted, "term string, toxic long, other long")
     return rows.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
+def folded_sample(sample: DataFrame) -> DataFrame:
+    """`y, words` of `sample(y, text)`, written once, as training reads it several times."""
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                words = [folded_words(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"y": part.column(0).cast(pa.int32()), "words": pa.array(words, pa.list_(pa.string()))})
+
+    return materialised(sample.select("y", "text").mapInArrow(folded, "y int, words array<string>"), "toxicity-sample")
+
+
 def _weight(toxic: Column, other: Column, n_toxic: int, n_other: int) -> Column:
     return F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((other + 0.5) / (n_other + 1))
 
@@ -156,7 +169,7 @@ def _choose(rows: list[tuple[int, list[str]]]) -> list[str]:
     free = np.where(label == 1, COVERS, 0)
     chosen: list[str] = []
     gains = {t: int((free[at[t]] > 0).sum()) - cost[t] for t in sorted(at)}
-    while len(chosen) < MAX_TERMS and gains:
+    while gains:
         # Gains only fall: a term whose fresh gain still leads is the best one.
         term = max(gains, key=lambda t: (gains[t], len(t), t))
         fresh = int((free[at[term]] > 0).sum()) - cost[term]
@@ -191,35 +204,35 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def train_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS) -> Lexicon:
     """Learn terms, weights, exception phrases and the curve from up to `max_rows` labelled rows (the documented
     bound of the sample) outside the held-out fold. Words and stems are counted in Spark; what comes to the driver
-    are at most `MAX_CANDIDATES` terms, the candidates' counts of each sampled row, and `MAX_PHRASES` phrases.
-    Without rows of both labels no term is learnt and every score is the smoothed share of label 1."""
-    sample = materialised(labelled_sample(docs, labels, label, ~in_fold(F.col("doc_id"), modulus, held_out), max_rows), "toxicity-sample")
+    are the terms that reach `LEAST_DOCS`, `LEAST_WEIGHT` and `LEAST_EVIDENCE`, those of each sampled row, and the phrases that
+    reach `LEAST_DOCS`: all bounded by the sample. Without rows of both labels no term is learnt and every
+    score is the smoothed share of label 1."""
+    sample = folded_sample(labelled_sample(docs, labels, label, ~in_fold(F.col("doc_id"), modulus, held_out), max_rows))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     base = math.log((n_toxic + 0.5) / (n_other + 0.5))
     if not n_toxic or not n_other:
         return Lexicon(curve=(base, 0.0, 0.0))
     counts = _document_counts(sample, _terms).where(F.col("toxic") >= LEAST_DOCS)
-    weighed = counts.withColumn("weight", _weight(F.col("toxic"), F.col("other"), n_toxic, n_other)).where("weight > 2")
-    top = weighed.orderBy((F.col("weight") * F.sqrt("toxic")).desc(), F.length("term").desc(), "term").limit(MAX_CANDIDATES)
-    lexicon = Lexicon({r["term"]: r["weight"] for r in top.collect()})
+    weighed = counts.withColumn("weight", _weight(F.col("toxic"), F.col("other"), n_toxic, n_other))
+    top = weighed.where((F.col("weight") > LEAST_WEIGHT) & (F.col("weight") * F.sqrt("toxic") >= LEAST_EVIDENCE))
+    lexicon = Lexicon({r["term"]: r["weight"] for r in top.orderBy("term").collect()})
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_pydict({"y": batch.column(0).cast(pa.int32()), "hits": pa.array([list(lexicon.hits(folded_words(t))) for t in texts], pa.list_(pa.string()))})
+            yield pa.RecordBatch.from_pydict({"y": batch.column(0), "hits": pa.array([list(lexicon.hits(t)) for t in texts], pa.list_(pa.string()))})
 
     rows = [(r["y"], sorted(r["hits"])) for r in sample.mapInArrow(seen, "y int, hits array<string>").where("size(hits) > 0").collect()]
     chosen = _choose(sorted(rows))
     lexicon = Lexicon({t: lexicon.weights[t] for t in chosen})
     around = _document_counts(sample, lambda words: _contexts(words, lexicon)).where((F.col("other") >= LEAST_DOCS) & (F.col("toxic") * 9 <= F.col("other")))
-    phrases = around.orderBy(F.col("other").desc(), "term").limit(MAX_PHRASES).collect()
-    lexicon = Lexicon(lexicon.weights, {r["term"]: 0.0 for r in phrases})
+    lexicon = Lexicon(lexicon.weights, {r["term"]: 0.0 for r in around.orderBy("term").collect()})
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [lexicon.sums(folded_words(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"y": batch.column(0).cast(pa.int32()), "a": pa.array([a for a, _ in pairs], pa.float64()), "b": pa.array([b for _, b in pairs], pa.float64())})
+            pairs = [lexicon.sums(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"y": batch.column(0), "a": pa.array([a for a, _ in pairs], pa.float64()), "b": pa.array([b for _, b in pairs], pa.float64())})
 
     fitted = sample.mapInArrow(summed, "y int, a double, b double").toPandas().sort_values(["y", "a", "b"])
     x = np.log1p(fitted[["a", "b"]].to_numpy(float))
@@ -230,7 +243,9 @@ def toxicity_score(text: Column, lexicon: Lexicon) -> Column:
     """The score of a text column, 0 to 1; null counts as empty."""
 
     @F.arrow_udf(T.DoubleType())
+    @thrifty
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("toxicity")
         for texts in batches:
             yield pa.array([lexicon.score(t) for chunk in text_chunks(texts) for t in chunk.to_pylist()], pa.float64())
 
