@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once for a Spark application: the driver may have imported it from
-    a folder that the executors' Python does not search."""
+    a folder that the executors' Python does not search. Batches that go to Python are made smaller where
+    the session has the engine's default: texts are long, and a worker and its executor hold some batches each."""
+    if spark.conf.get(ARROW_BYTES) == "67108864b":
+        spark.conf.set(ARROW_BYTES, "8m")
     context = spark.sparkContext
     if getattr(ship_package, "sent", None) == context.applicationId:
         return

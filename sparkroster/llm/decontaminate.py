@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ragged, span_hashes, spans_of, text_bytes, text_chunks
+from .workers import held, thrifty
 
 SAMPLE_EVERY = 8
 BLOCK_BYTES = 4 << 20
@@ -266,7 +267,9 @@ def scan(texts: pa.Array, patterns: Patterns) -> pa.Array:
 
 def _searched(text: Column, patterns: object) -> Column:
     @F.arrow_udf(RESULT)
+    @thrifty
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("passages")
         for texts in batches:
             parts = [scan(chunk, patterns.value) for chunk in text_chunks(texts)]
             yield pa.concat_arrays(parts) if parts else pa.array([], scan(pa.array([], pa.large_string()), patterns.value).type)

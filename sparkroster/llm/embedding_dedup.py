@@ -1,6 +1,11 @@
 """Near-duplicates among vectors by collision counting: vectors are sorted along many one-dimensional
 projections, a pair's collisions are the windows around one vector that hold the other, and pairs with enough of
-them are verified in double precision."""
+them are verified in double precision.
+
+The windows alone cannot find the candidates of a large table: at cosine 0.95 in 64 dimensions a window that holds
+a near pair on 85 of 100 lines holds a quarter of all other pairs too. So vectors first share a cell of random signs
+in one of several tables (13 tables at 10^4 vectors, 29 at 10^6, 92 at 10^9), which is what narrows the search; within
+a cell the windows of 24 lines decide which pairs are verified."""
 
 from __future__ import annotations
 

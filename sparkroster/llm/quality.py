@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import in_fold, labelled_sample, span_hashes, spans_of, text_bytes, text_chunks
+from .workers import held, thrifty
 
 MAX_ROWS = 20_000
 FEATURES = (
@@ -224,7 +225,9 @@ def quality_score(text: Column, model: AdditiveModel) -> Column:
     """The score of a text column, 0 to 1; null counts as empty."""
 
     @F.arrow_udf(T.DoubleType())
+    @thrifty
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("quality")
         for texts in batches:
             yield pa.array(model.scores(_rows(texts)))
 

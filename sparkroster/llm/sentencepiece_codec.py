@@ -7,7 +7,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ragged, text_chunks
+from .workers import held, thrifty
 
 BLANK = "▁"
 CACHED_WORDS = 100_000
@@ -310,15 +310,15 @@ class PieceModel:
         return pa.array(out, pa.string())
 
 
-@lru_cache(maxsize=2)
 def _model(path: str) -> PieceModel:
-    return PieceModel(path)
+    return held(("pieces", path), lambda: PieceModel(path))
 
 
 def encoded(text: Column, path: str) -> Column:
     """Ids of a text column as `array<int>`; no ids for null and for empty texts."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @thrifty
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(path)
         for texts in batches:

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import in_blocks, unite, whole_runs
+from .blocks import linked_edges, unite, whole_runs
 from .common import materialised, text_chunks
 from .components import connected_components
-from .simhash_dedup import SEED, shingles_of
+from .simhash_dedup import SEED, fingerprint_of, shingles_of
+from .workers import held, thrifty
 
 WORDS = 5
 # A similarity of 4 / 5 or more; whole numbers, so that the test is exact.
@@ -26,6 +27,7 @@ SKETCH_BITS, MAX_BITS = 128, 30
 HASHES_AT_ONCE = 1 << 12
 BLOCK_ROWS = 4096
 SET_ROWS = 512
+SET_SHINGLES = 1 << 18
 COLUMNS = 4096
 
 
@@ -59,33 +61,41 @@ def sketch_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return bits, keys.view(np.int64)
 
 
-MARK = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "low", "high")] + [T.StructField("keys", T.ArrayType(T.LongType()))])
+MARK = T.StructType([T.StructField(n, T.LongType()) for n in ("words_high", "words_low", "print", "low", "high")] + [T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 @F.arrow_udf(MARK)
+@thrifty
 def _marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh3_128_digest
 
+    held("near copies")
     for texts in batches:
-        nodes, sketches, keys = [], [], []
+        words, prints, sketches, keys = [], [], [], []
         for chunk in text_chunks(texts):
             for text in chunk.to_pylist():
-                nodes.append(xxh64_intdigest(b" ".join(text.encode().lower().split()), SEED))
+                words.append(xxh3_128_digest(b" ".join(text.encode().lower().split()), SEED))
+                prints.append(fingerprint_of(text))
                 bits, bands = sketch_of(text)
                 sketches.append(bits)
                 keys.append(bands)
         both = np.array(sketches, np.int64).reshape(-1, 2)
         ends = np.cumsum([0, *map(len, keys)])
         bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-        yield pa.StructArray.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), bands], ["node", "low", "high", "keys"])
+        halves = np.frombuffer(b"".join(words), "<i8").reshape(-1, 2)
+        of_prints = np.array(prints, np.uint64).view(np.int64)
+        columns = [pa.array(c.copy()) for c in (halves[:, 0], halves[:, 1], of_prints, both[:, 0], both[:, 1])]
+        yield pa.StructArray.from_arrays([*columns, bands], [f.name for f in MARK.fields])
 
 
 def marks(text: Column) -> Column:
-    """`struct<node, low, high, keys>` of a text column: a hash of its words, its sketch and its bands' keys."""
+    """`struct<words_high, words_low, print, low, high, keys>` of a text column: 128 bits of a hash of its words, its
+    fingerprint, its sketch and its bands' keys. All in one function, so that a task has one worker for them."""
     return _marks.asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
+@thrifty
 def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingles_of(t, WORDS)])) for chunk in text_chunks(texts) for t in chunk.to_pylist()]
@@ -93,6 +103,7 @@ def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
 
 
+@thrifty
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, run in whole_runs(batches, ("key", "_block")):
         nodes, low, high = (rows[c].to_numpy().view(np.uint64) for c in ("node", "low", "high"))
@@ -129,6 +140,7 @@ def alike_forest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return child, parent[child]
 
 
+@thrifty
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, run in whole_runs(batches, ("cluster", "_block"), SET_ROWS):
         nodes, sets = rows["node"].to_numpy(), rows["shingles"].combine_chunks()
@@ -147,11 +159,14 @@ def alike_edges(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges `a, b` that connect the nodes with similar sets, from `nodes(node, row, low, high, keys)` and `texts(row, text)`.
 
     Nodes that share a band and have near sketches are candidates; they are connected to clusters, and in a
-    cluster, cut into blocks of bounded size, all sets are compared. So each text is worked on once, not once
-    for each pair, and blocks give forests, never all pairs."""
+    cluster all sets are compared, in blocks of bounded rows and shingles. So each text is worked on once, not
+    once for each pair, and blocks give forests, never all pairs. `row` names a row of `texts`, or rows alike
+    in all columns, of which one is taken."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "low", "high")
-    clusters = connected_components(in_blocks(keyed, "key", "node", BLOCK_ROWS).mapInArrow(_candidates, "a long, b long"))
+    near = linked_edges(keyed, "key", "node", BLOCK_ROWS, lambda rows: rows.mapInArrow(_candidates, "a long, b long"))
+    clusters = connected_components(near)
     chosen = clusters.join(nodes, "node").select("node", "row", F.col("root").alias("cluster"))
-    members = texts.join(chosen, "row").dropDuplicates(["node"])
-    members = materialised(members.select("node", "cluster", _sets(F.coalesce("text", F.lit(""))).alias("shingles")), "shingle-sets")
-    return in_blocks(members, "cluster", "node", SET_ROWS).mapInArrow(_alike, "a long, b long")
+    members = texts.join(chosen, "row").dropDuplicates(["row"])
+    members = members.select("node", "cluster", _sets(F.coalesce("text", F.lit(""))).alias("shingles"))
+    members = materialised(members.withColumn("n", F.size("shingles")), "shingle-sets")
+    return linked_edges(members, "cluster", "node", SET_ROWS, lambda rows: rows.mapInArrow(_alike, "a long, b long"), "n", SET_SHINGLES)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from .blocks import in_blocks, unite, whole_runs
 from .common import materialised, text_chunks
 from .components import connected_components
+from .workers import held, thrifty
 
 SEED = 42
 HASHES_AT_ONCE = 1 << 17
@@ -53,7 +54,9 @@ def fingerprint_of(text: str, words: int = 4) -> int:
 
 
 @F.arrow_udf(T.LongType())
+@thrifty
 def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    held("near copies")
     for texts in batches:
         values = [fingerprint_of(t) for chunk in text_chunks(texts) for t in chunk.to_pylist()]
         yield pa.array(np.array(values, np.uint64).view(np.int64))
@@ -122,6 +125,7 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, keys[rows, at]
 
 
+@thrifty
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column(0).to_numpy()
@@ -146,6 +150,7 @@ def near_forest(run: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.nda
     return prints[child], prints[parent[child]]
 
 
+@thrifty
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, run in whole_runs(batches, ("key", "_block")):
         a, b = near_forest(run, rows["print"].to_numpy())
@@ -181,26 +186,30 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     it the smallest hash), and one of its rows with a null id, as nothing names those. All columns are kept;
     rows of one id with unlike texts belong to groups of their own."""
     first = near_groups(docs).groupBy("root", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    first = first.select(F.col("first.row").alias("_kept"))
-    kept = docs.withColumn("_row", row_hash(docs)).join(first, F.col("_row") == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates(["_row"]).drop("_row")
+    first = first.select(F.col("first.row").alias("_row"))
+    # Rows alike in all columns have one hash and lie in one partition after the join; one of them stays.
+    return docs.withColumn("_row", row_hash(docs)).join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def row_hash(docs: DataFrame) -> Column:
-    """A hash of all columns of a row; null and empty texts have unlike ones."""
-    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    """128 bits of hashes of all columns of a row; null and empty texts have unlike ones."""
+    columns = [*[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns]]
+    return F.struct(F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit("second"), *reversed(columns)).alias("h2"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """`doc_id, row, root` for every row of `docs(doc_id, text, ...)`, `row` its `row_hash`: rows have one root
     where links connect them. Texts link whose sets of five-word shingles have a Jaccard similarity of
-    0.8 or more, and those that `simhash_groups` links."""
+    0.8 or more, and those that `simhash_groups` links. Texts of the same words are one node."""
     from .shingle_sets import alike_edges, marks
 
     row = row_hash(docs).alias("row")
-    marked = docs.select("doc_id", row, fingerprint(F.col("text")).alias("print"), marks(F.col("text")).alias("mark"))
-    marked = materialised(marked.select("doc_id", "row", "print", "mark.*"), "marks")
-    nodes = materialised(marked.groupBy("node").agg(*[F.min(c).alias(c) for c in ("row", "print", "low", "high", "keys")]), "nodes")
+    marked = docs.select("doc_id", row, marks(F.col("text")).alias("mark"))
+    marked = materialised(marked.select("doc_id", "row", "mark.*"), "marks")
+    words = ["words_high", "words_low"]
+    # Nodes get running numbers, which stay as they are in the table written.
+    nodes = marked.groupBy(words).agg(*[F.min(c).alias(c) for c in ("row", "print", "low", "high")], F.any_value("keys").alias("keys"))
+    nodes = materialised(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     firsts = materialised(nodes.groupBy("print").agg(F.min("node").alias("first")), "firsts")
     alike_prints = nodes.join(firsts, "print").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = print_components(nodes.select("print").distinct())
@@ -208,4 +217,5 @@ def near_groups(docs: DataFrame) -> DataFrame:
     near = near.join(lower, "root").join(firsts.select(F.col("print").alias("node"), F.col("first").alias("b")), "node").select("a", "b")
     texts = docs.select(row, "text")
     roots = connected_components(alike_prints.union(near).union(alike_edges(nodes, texts)))
-    return marked.join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root"))
+    roots = nodes.select(*words, "node").join(roots, "node", "left").select(*words, F.coalesce("root", "node").alias("root"))
+    return marked.join(roots, words).select("doc_id", "row", "root")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_chunks
+from .workers import held
 
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -129,9 +129,8 @@ class MergeCounter:
         waiting.clear()
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str) -> MergeCounter:
-    return MergeCounter(path)
+    return held(("merges", path), lambda: MergeCounter(path))
 
 
 def n_tokens(text: Column, path: str) -> Column:

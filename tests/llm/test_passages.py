@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
@@ -13,6 +14,7 @@ from sparkroster.llm import decontaminate
 from sparkroster.llm.catalog import QUERIES, SQL
 from sparkroster.llm.common import text_chunks
 from sparkroster.llm.decontaminate import Patterns, contamination, drop_contaminated, scan, without_passages
+from sparkroster.llm.simhash_dedup import fingerprint_of
 from tests.oracle import connect, differences
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -105,37 +107,79 @@ def test_queries_match_their_sql(spark, name):
 
 
 def test_queries_read_whole_tables(spark):
-    of = {"op2_embedding_dedup": "embeddings", "op7_url_filter": "pages"}
+    of = {"op2_embedding_dedup": "embeddings", "op7_url_filter": "pages", "listed_pages": "pages", "op12_centroid_clusters": "embeddings"}
     for name, query in QUERIES.items():
-        if name != "op5_chat_format":
+        if name == "op5_chat_format":
+            turns = query(spark, SF).agg(F.sum("n_turns")).first()[0]
+            assert turns == spark.read.parquet(f"{SF}/conversations.parquet").count()
+        elif name != "op13_prefix_trie":
             table = of.get(name, "documents")
             assert query(spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count(), name
 
 
+def near_copies_by_force(rows):
+    """The ids that stay of `rows` of (id, text): the smallest of each group of texts whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more, or whose fingerprints differ in 4 or fewer bits."""
+    sets, prints = [], []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append(frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset())
+        prints.append(fingerprint_of(text or ""))
+    holders = defaultdict(list)
+    for i, shingles in enumerate(sets):
+        for s in shingles:
+            holders[s].append(i)
+    shared = Counter((a, b) for held in holders.values() for k, a in enumerate(held) for b in held[k + 1 :])
+    links = [(a, b) for (a, b), n in shared.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    links += [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    lowest = {}
+    for i, (doc, _) in enumerate(rows):
+        lowest[find(i)] = min(doc, lowest.get(find(i), doc))
+    return sorted(lowest.values())
+
+
 def test_pipeline_stages_filter_as_their_operators(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(1))
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     from sparkroster.llm.quality import quality
-    from sparkroster.llm.simhash_dedup import simhash_groups
+    from sparkroster.llm.simhash_dedup import near_groups
     from sparkroster.llm.toxicity import toxicity
 
     steps = [
         lambda d: quality(d, labels, docs).where("predicted = 1").select("doc_id"),
         lambda d: toxicity(docs, labels).join(d.select("doc_id"), "doc_id").where("predicted = 0").select("doc_id"),
-        lambda d: simhash_groups(d).where("doc_id = component_id").select("doc_id"),
+        lambda d: near_groups(d).groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id"),
         lambda d: contamination(d, spark.read.parquet(f"{SF}/benchmark.parquet")).where("NOT contaminated").select("doc_id"),
     ]
     now = docs
-    for (_, stage), step in zip(corpus_pipeline.STAGES, steps, strict=False):
+    for (name, stage), step in zip(corpus_pipeline.STAGES, steps, strict=False):
         kept = stage(spark, now, SF)
         assert kept.columns == docs.columns
         ids = sorted(r["doc_id"] for r in kept.collect())
         assert ids == sorted(r["doc_id"] for r in step(now).collect())
+        if name == "near copies":
+            assert ids == near_copies_by_force([tuple(r) for r in now.select("doc_id", "text").collect()])
         now = docs.join(spark.createDataFrame([(i,) for i in ids], "doc_id long"), "doc_id", "left_semi")
     out = corpus_pipeline.STAGES[-1][1](spark, now, SF)
     assert out.columns == ["doc_id", "n_ids", "ids"] and out.count() == now.count()
 
 
+def test_near_copies_of_a_whole_table(spark):
+    """All links between the documents of the table that is ten times as large are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = corpus_pipeline.no_near_copies(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == near_copies_by_force([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() < spark.read.parquet(f"{SF}/documents.parquet").count()

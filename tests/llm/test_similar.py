@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkroster.llm import blocks, embedding_dedup, shingle_sets, simhash_dedup
 from sparkroster.llm.components import connected_components
@@ -93,6 +94,26 @@ def test_recall_of_pairs_at_the_threshold():
     assert len(set(zip(q.tolist(), r.tolist(), strict=True)) & {(i, 400 + i) for i in range(400)}) >= 398
 
 
+@pytest.mark.parametrize("cell", [4096, 128])
+def test_planted_pairs_are_found_end_to_end(spark, monkeypatch, cell):
+    """Pairs just above the threshold among unlike vectors, with one table of cells and with several."""
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", cell)
+    source = np.random.default_rng(11)
+    a = source.standard_normal((1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    away = source.standard_normal((500, 64))
+    away -= (away * a[:500]).sum(axis=1, keepdims=True) * a[:500]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = source.uniform(0.9502, 0.96, (500, 1))
+    b = cosine * a[:500] + np.sqrt(1 - cosine**2) * away
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]).astype(np.float32))]
+    signs, tables = table_plan(len(rows), 0.95)
+    assert (tables > 1) == (cell == 128)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    found = sum(got[1500 + i] == (1, i) for i in range(500))
+    assert found >= 498 and all(got[i] == (0, i) for i in range(500, 1500))
+
+
 def slow_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -164,9 +185,39 @@ def test_a_hot_key_meets_itself_in_bounded_blocks(spark):
     assert len(pairs) == n * (n - 1) // 2
 
 
-@pytest.mark.parametrize("limit", [512, 3])
-def test_near_copies_on_five_word_shingles_go(spark, monkeypatch, limit):
+def test_large_keys_are_connected_without_meeting_all_rows(spark):
+    """Rows link where their values differ by 1; a key's rows are connected as by comparing all of them."""
+    source = np.random.default_rng(3)
+    rows = [(k, int(i), int(v)) for k in (1, 2, 3) for i, v in enumerate(source.permutation([*range(90), *range(200, 230), *range(400, 402), 500])[: 200 if k > 1 else 5], 1000 * k)]
+    seen = []
+
+    def compare(dealt):
+        found = []
+        for (_, block), part in dealt.toPandas().groupby(["key", "_block"]):
+            values = part[["node", "value"]].drop_duplicates().to_numpy().tolist()
+            seen.append(len(values))
+            found += [(a, b) for a, x in values for b, y in values if a < b and abs(x - y) == 1]
+        return spark.createDataFrame(found, "a long, b long")
+
+    table = spark.createDataFrame(rows, "key int, node long, value int")
+    edges = [tuple(r) for r in blocks.linked_edges(table, "key", "node", 20, compare).collect()]
+    assert max(seen) < 80
+    nodes = sorted(n for _, n, _ in rows)
+    at = {n: i for i, n in enumerate(nodes)}
+    value = {n: (k, v) for k, n, v in rows}
+    linked = np.array([[value[a][0] == value[b][0] and abs(value[a][1] - value[b][1]) <= 1 for b in nodes] for a in nodes])
+    got = np.eye(len(nodes), dtype=bool)
+    for a, b in edges:
+        got[at[a], at[b]] = got[at[b], at[a]] = True
+    assert (labels(got, np.array(nodes)) == labels(linked, np.array(nodes))).all()
+    weighed = blocks.linked_edges(table.withColumn("n", F.lit(7)), "key", "node", 10_000, compare, "n", 140)
+    assert {tuple(r) for r in weighed.collect()} and max(seen) < 80
+
+
+@pytest.mark.parametrize("limit, band", [(512, 4096), (3, 5)])
+def test_near_copies_on_five_word_shingles_go(spark, monkeypatch, limit, band):
     monkeypatch.setattr(shingle_sets, "SET_ROWS", limit)
+    monkeypatch.setattr(shingle_sets, "BLOCK_ROWS", band)
     source = np.random.default_rng(4)
     texts = []
     for _ in range(30):
