@@ -8,7 +8,6 @@ import math
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .blocks import SMALL_LIST
 from .common import materialised
